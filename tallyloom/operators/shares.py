@@ -80,6 +80,13 @@ def rates_with_total(
     folded = tally(
         tallies.withColumn(area, F.when(F.col(area).isin(typed), F.col(area))), [*by, area]
     )
+    if not by:
+        # A total over no rows at all is still one row; grouping sets would give none.
+        neutral = tallies.sparkSession.range(1).select(
+            F.lit(None).cast(tallies.schema[area].dataType).alias(area),
+            *(F.lit(0).cast(folded.schema[m].dataType).alias(m) for m in MEASURES),
+        )
+        folded = folded.unionByName(neutral)
     keys = [F.col(k) for k in by]
     total = F.grouping(area)
     rates = (

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
-def local_session(cpus: int | str = "*", app: str = "tallyloom") -> SparkSession:
+def local_session(
+    cpus: int | str = "*", app: str = "tallyloom", checkpoint_dir: str | None = None
+) -> SparkSession:
     """A single-JVM session. A cluster brings its own session; nothing here is needed there."""
     partitions = "8" if cpus == "*" else str(cpus)
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -23,8 +25,10 @@ def local_session(cpus: int | str = "*", app: str = "tallyloom") -> SparkSession
         .config("spark.driver.memory", "8g")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -352,7 +352,8 @@ ORACLE: dict[str, str] = {
         LEFT JOIN panel p ON p.l_suppkey = s.l_suppkey
              AND p.data_week = (SELECT max(data_week) FROM panel)""",
     "row_mean_across_series": f"""WITH {CITY_PANEL}, {_dense_mean('city', 4, 'weeks', 'mean4')}
-        SELECT data_week, round(CASE WHEN count(mean4) = {len(_LISTED_SHORT)} THEN avg(mean4) END, 8)
+        SELECT data_week, round(CASE WHEN count(mean4) = (SELECT count(DISTINCT city) FROM panel)
+                                     THEN avg(mean4) END, 8)
                AS mean_of_cities FROM rolled GROUP BY data_week""",
     # reshaping and order
     "pivot_wide": "SELECT l_suppkey, {week} AS data_week, {cells} FROM lineitem GROUP BY 1, 2".format(

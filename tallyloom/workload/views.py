@@ -61,7 +61,7 @@ SECTOR_LOOKUP = [
     ("06", "Goods Producing"),
     ("07", "Service-Providing"),
     ("08", "Private Service Providing"),
-    ("15", "Mining, Logging and Construction"),
+    ("15", "Mining, Logging, and Construction"),
     ("20", "Construction"),
     ("30", "Manufacturing"),
     ("31", "Durable Goods"),
