@@ -9,15 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
 
 def safe_double(text: Column) -> Column:
-    """Text to double; text that is no number gives NULL.
+    """Text to double; text that is no decimal number gives NULL.
 
-    The cast alone would accept the suffixes of ``12d`` and ``12f``, so these letters are
-    made unreadable first; a literal NaN counts as missing.
+    The shape is tested first. The cast alone would take ``12d``, ``NaN`` and ``Infinity``
+    for numbers, and it raises and catches an exception for every text it cannot read.
     """
-    number = F.translate(text, "dDfF", "????").try_cast("double")
-    return F.when(~F.isnan(number), number)
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def ratio(part: Column, whole: Column) -> Column:

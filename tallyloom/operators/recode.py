@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Beyond these sizes an expression per entry makes generated code too long to compile well.
-_MAX_BRANCHES = 64
+# Beyond this size an IN list makes generated code too long to compile well.
 _MAX_IN_LIST = 1_000
 # A range dimension of at most this many codes (two short columns each) may be broadcast.
 _MAX_BROADCAST_CODES = 1_000_000
@@ -25,25 +25,20 @@ def recode_ranges(
     Several ranges may carry one label. A code in no range gets NULL. Ranges must not
     overlap, so their order never matters.
 
-    A short table becomes one conditional expression inside the scan's own stage. A long
-    one is expanded to a row per code and joined on equality: a join on ``low <= code <=
-    high`` would compare every row with every range.
+    The table is expanded to a row per code and joined on equality: a join on ``low <= code
+    <= high`` would compare every row with every range, and a long conditional expression is
+    inlined into each filter on its result. The ranges say how many codes there are, so the
+    broadcast is bounded; a larger table is left to Spark to join by its size.
     """
     _require_disjoint(ranges)
-    code = F.col(column)
-    if len(ranges) <= _MAX_BRANCHES:
-        label = F.lit(None).cast("string")
-        for low, high, name in reversed(ranges):
-            label = F.when(code.between(low, high), F.lit(name)).otherwise(label)
-        return df.withColumn(out, label)
-
-    dimension = (
-        df.sparkSession.createDataFrame(list(ranges), f"lo long, hi long, `{out}` string")
-        .select(F.explode(F.sequence("lo", "hi")).alias("__code"), out)
-    )
+    lows, highs, labels = zip(*ranges)
+    table = pa.table({"lo": list(lows), "hi": list(highs), out: list(labels)})
+    type_ = df.schema[column].dataType
+    codes = F.explode(F.sequence(F.col("lo").cast(type_), F.col("hi").cast(type_)))
+    dimension = df.sparkSession.createDataFrame(table).select(codes.alias("__code"), out)
     if sum(high - low + 1 for low, high, _ in ranges) <= _MAX_BROADCAST_CODES:
         dimension = F.broadcast(dimension)
-    return df.join(dimension, code == F.col("__code"), "left").drop("__code")
+    return df.join(dimension, F.col(column) == F.col("__code"), "left").drop("__code")
 
 
 def _require_disjoint(ranges: Sequence[tuple[int, int, str]]) -> None:
@@ -72,7 +67,7 @@ def keep_listed(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     type_ = df.schema[column].dataType
     if len(values) <= _MAX_IN_LIST:
         return df.filter(F.col(column).isin([F.lit(v).cast(type_) for v in values]))
-    listed = df.sparkSession.createDataFrame(
-        [(v,) for v in dict.fromkeys(values)], ["__listed"]
-    ).select(F.col("__listed").cast(type_))
+    # An Arrow table becomes a local relation, whose size Spark knows when it plans the join.
+    entries = pa.table({"__listed": pa.array(dict.fromkeys(values))})
+    listed = df.sparkSession.createDataFrame(entries).select(F.col("__listed").cast(type_))
     return df.join(listed, F.col(column) == F.col("__listed"), "left_semi")

@@ -17,7 +17,7 @@ from .. import operators as op
 from .. import sources as src
 from ..plans import employment, estimates, occupancy, telework
 from ..plans import fixed_values as fixed
-from ..session import fresh_path
+from ..session import fresh_path, materialise
 from . import views
 from .views import LISTED_AREAS, TOTAL_ID, table
 
@@ -569,7 +569,10 @@ def occupancy_weekly_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def occupancy_columns_by_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return occupancy.columns_by_latest(occupancy_weekly_wide(spark, sf_dir))
+    """The panel has a row per week; it is written once, for the order and for the result."""
+    return occupancy.columns_by_latest(
+        materialise(occupancy_weekly_wide(spark, sf_dir), "weekly-wide")
+    )
 
 
 @registered

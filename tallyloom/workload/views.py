@@ -217,9 +217,10 @@ def city_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .groupBy(
             week_start(F.col("l_shipdate")).alias("data_week"),
-            area_code(F.col("l_suppkey")).cast("string").alias("GEOID"),
+            area_code(F.col("l_suppkey")).alias("code"),
         )
         .agg(F.avg("l_quantity").alias("occupancy"))
+        .withColumn("GEOID", F.col("code").cast("string"))
     )
     names = area_names(spark, sf_dir).withColumnRenamed("msa_short_name", "city")
     return means.join(names, "GEOID").select("data_week", "city", "occupancy")
@@ -228,39 +229,40 @@ def city_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly and annual quantities per series, as padded text; small ones are withheld.
 
-    The annual rows are sums of the monthly table, not of the line items.
+    Line items are added up under small numbers and flags; identifiers are spelled out on
+    the sums. The annual rows are sums of the monthly table, not of the line items.
     """
     shipped = F.col("l_shipdate").cast("date")
-    codes = F.array(*(F.lit(code) for code, _ in SECTOR_LOOKUP))
-    area = F.col("l_suppkey") % N_AREAS
     parts = {
-        "seas": F.when(F.col("l_linestatus") == "F", "U").otherwise("S"),
-        "state": F.lpad((area + 1).cast("string"), 2, "0"),
-        "area": area_code(F.col("l_suppkey")).cast("string"),
-        "sector": F.get(codes, (F.col("l_partkey") % len(SECTOR_LOOKUP)).cast("int")),
-        "naics": F.when(F.col("l_tax") <= 0.04, "000000").otherwise("236000"),
-        "measure": F.when(F.col("l_linenumber") <= 4, "01").otherwise("03"),
+        "area": (F.col("l_suppkey") % N_AREAS).cast("int"),
+        "sector": (F.col("l_partkey") % len(SECTOR_LOOKUP)).cast("int"),
+        "unadjusted": F.col("l_linestatus") == "F",
+        "all_industries": F.col("l_tax") <= 0.04,
+        "all_employees": F.col("l_linenumber") <= 4,
+        "y": F.year(shipped),
     }
     monthly = (
         table(spark, sf_dir, "lineitem")
-        .groupBy(
-            *(column.alias(name) for name, column in parts.items()),
-            F.year(shipped).alias("y"),
-            F.month(shipped).alias("m"),
-        )
+        .groupBy(*(column.alias(name) for name, column in parts.items()), F.month(shipped).alias("m"))
         .agg(F.sum("l_quantity").alias("q"))
     )
-    keys = [F.col(name) for name in [*parts, "y"]]
-    both = monthly.groupingSets([[*keys, F.col("m")], keys], *keys, F.col("m")).agg(
-        F.sum("q").cast("bigint").alias("q")
+    annual = monthly.groupBy(*parts).agg(F.lit(13).alias("m"), F.sum("q").alias("q"))
+    codes = F.array(*(F.lit(code) for code, _ in SECTOR_LOOKUP))
+    identifier = F.concat(
+        F.lit("SM"),
+        F.when(F.col("unadjusted"), "U").otherwise("S"),
+        F.lpad((F.col("area") + 1).cast("string"), 2, "0"),
+        (AREA_BASE + AREA_STEP * F.col("area")).cast("string"),
+        F.get(codes, F.col("sector")),
+        F.when(F.col("all_industries"), "000000").otherwise("236000"),
+        F.when(F.col("all_employees"), "01").otherwise("03"),
     )
-    text = F.when(F.col("q") < 5, F.lit("-")).otherwise(F.col("q").cast("string"))
-    return both.select(
-        F.concat(F.lit("SM"), *(F.col(name) for name in parts)).alias("series_id"),
+    quantity = F.col("q").cast("bigint")
+    text = F.when(quantity < 5, F.lit("-")).otherwise(quantity.cast("string"))
+    return union_by_name(monthly, annual).select(
+        identifier.alias("series_id"),
         F.col("y").cast("string").alias("year"),
-        F.concat(
-            F.lit("M"), F.lpad(F.coalesce(F.col("m"), F.lit(13)).cast("string"), 2, "0")
-        ).alias("period"),
+        F.concat(F.lit("M"), F.lpad(F.col("m").cast("string"), 2, "0")).alias("period"),
         F.lpad(text, 12, " ").alias("value"),
         F.lit(None).cast("string").alias("footnote_codes"),
     )

@@ -35,9 +35,9 @@ EDGES += [(3991, None), (4070, "40"), (5790, "40"), (5791, None), (6070, "40"),
 EDGES += [(8560, None), (8561, "70"), (9890, "90"), (9891, None), (-1, None), (None, None)]
 
 
-@pytest.mark.parametrize("branches", [64, 0])
-def test_recode_ranges_both_ways(spark, monkeypatch, branches):
-    monkeypatch.setattr(recode_module, "_MAX_BRANCHES", branches)
+@pytest.mark.parametrize("broadcast_codes", [10**6, 0])
+def test_recode_ranges_both_ways(spark, monkeypatch, broadcast_codes):
+    monkeypatch.setattr(recode_module, "_MAX_BROADCAST_CODES", broadcast_codes)
     codes = spark.createDataFrame([(c,) for c, _ in EDGES], "IND int")
     got = dict(rows(op.recode_ranges(codes, "IND", fixed.SUPERSECTOR_RANGES, "code")))
     assert got == dict(EDGES)
