@@ -1,6 +1,7 @@
 """DataFrame to DataFrame operators."""
 
 from .checks import duplicate_keys, wrong_piece_count
+from .filters import keep_dates, keep_listed
 from .joins import attach_denominator, join_dimension, join_lookup, join_null_safe
 from .panel import (
     latest_values,
@@ -10,7 +11,7 @@ from .panel import (
     share_of_total,
     time_axis,
 )
-from .recode import keep_listed, label_codes, recode_ranges
+from .recode import label_codes, recode_ranges
 from .reshape import ordered_values, pivot_ordered, sort_desc_nulls_last, union_by_name
 from .shares import (
     mean_by_group,
@@ -28,6 +29,7 @@ __all__ = [
     "join_dimension",
     "join_lookup",
     "join_null_safe",
+    "keep_dates",
     "keep_listed",
     "label_codes",
     "latest_values",

@@ -73,14 +73,21 @@ def rolling_mean(
 
 
 def row_mean_across_series(
-    panel: DataFrame, series: str, date: str, value: str, out: str
+    panel: DataFrame,
+    series: str,
+    date: str,
+    value: str,
+    out: str,
+    all_series: DataFrame | None = None,
 ) -> DataFrame:
     """Mean over all series by date; NULL unless every series of the panel has a value.
 
     Long form, for any number of series: dates are aggregated with partial sums, and the
-    number of series is a scalar subquery.
+    number of series is a scalar subquery. Pass ``all_series`` to count the series in a
+    cheaper source than an expensive panel.
     """
-    n_series = panel.agg(F.count_distinct(series)).scalar()
+    source = panel if all_series is None else all_series
+    n_series = source.agg(F.count_distinct(series)).scalar()
     return (
         panel.groupBy(date)
         .agg(F.count(value).alias("__n"), F.avg(value).alias("__mean"))
@@ -97,7 +104,7 @@ def row_mean(wide: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
 def latest_values(panel: DataFrame, series: str, date: str, value: str, out: str) -> DataFrame:
     """Value of every series on the newest date of the whole panel, NULL where it has none.
 
-    Sort by ``out`` descending, missing last, to order series by their latest value.
+    The newest date is a scalar subquery that reads the date column only. Sort by ``out`` descending, missing last, to order series by their latest value.
     """
     newest = panel.agg(F.max(date)).scalar()
     return panel.groupBy(series).agg(
@@ -116,6 +123,8 @@ def share_of_total(
 
     One missing value makes the group's shares missing, and a total of zero too.
 
+    ``df`` is read twice; write it first if it is costly to compute.
+
     A window over the group would sort each group in one task. Instead the totals are added
     up (partial sums first) and joined back. With ``max_groups``, a number of groups the
     caller can prove (say from a list it filtered by), small totals are broadcast and

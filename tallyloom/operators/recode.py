@@ -1,4 +1,4 @@
-"""Recoding numeric codes, and filters on listed values."""
+"""Recoding numeric codes, and labels of codes."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Beyond this size an IN list makes generated code too long to compile well.
-_MAX_IN_LIST = 1_000
 # A range dimension of at most this many codes (two short columns each) may be broadcast.
 _MAX_BROADCAST_CODES = 1_000_000
 
@@ -55,19 +53,3 @@ def label_codes(code: Column, labels: Mapping[str, str]) -> Column:
     """The label of a code, NULL for a code without one."""
     entries = [F.lit(text) for entry in labels.items() for text in entry]
     return F.try_element_at(F.create_map(*entries), code)
-
-
-def keep_listed(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    """Rows whose value is in a list. A missing value is in no list.
-
-    The list takes the type of the column, so that codes given as text find integer codes.
-    Short lists become an ``IN`` predicate, which reaches the scan; long ones a semi join,
-    whose strategy Spark picks from the size of the list.
-    """
-    type_ = df.schema[column].dataType
-    if len(values) <= _MAX_IN_LIST:
-        return df.filter(F.col(column).isin([F.lit(v).cast(type_) for v in values]))
-    # An Arrow table becomes a local relation, whose size Spark knows when it plans the join.
-    entries = pa.table({"__listed": pa.array(dict.fromkeys(values))})
-    listed = df.sparkSession.createDataFrame(entries).select(F.col("__listed").cast(type_))
-    return df.join(listed, F.col(column) == F.col("__listed"), "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import (
     join_dimension,
+    keep_dates,
     mean_by_group,
     pivot_ordered,
     rolling_mean,
@@ -59,10 +60,8 @@ def attendance_and_telework(
     panel: DataFrame, rates: DataFrame, first: str, last: str
 ) -> DataFrame:
     """Mean attendance of each city between two dates beside its telework rate."""
-    window = panel.filter(
-        F.col("data_week").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    )
-    means = mean_by_group(window, ["city"], "occupancy", "occupancy_mean")
+    compared = keep_dates(panel, "data_week", first, last)
+    means = mean_by_group(compared, ["city"], "occupancy", "occupancy_mean")
     return (
         join_dimension(means, rates, "city", "msa_short_name")
         .withColumnsRenamed({"occupancy_mean": fixed.OCCUPANCY_NAME, "wfh_pct": fixed.TELEWORK_NAME})

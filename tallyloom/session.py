@@ -42,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     application. On a cluster a machine-local folder would lose data with its executor,
     so a missing setting is an error there.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):

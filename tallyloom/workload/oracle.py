@@ -285,9 +285,10 @@ ORACLE: dict[str, str] = {
     "filter_in_list": f"""WITH {PERSONS}
         SELECT * FROM persons WHERE METFIPS IN ({_numbers(views.LISTED_AREAS)})""",
     "filter_in_long_list": f"WITH {PERSONS} SELECT * FROM persons WHERE IND % 7 = 0",
-    "filter_date_range": f"""WITH {SUPPLIER_PANEL}
-        SELECT data_week, l_suppkey, round(occupancy, 8) AS occupancy FROM panel
-        WHERE data_week BETWEEN DATE '{views.COMPARED_WEEKS[0]}' AND DATE '{views.COMPARED_WEEKS[1]}'""",
+    "filter_date_range": f"""
+        SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem
+        WHERE CAST(l_shipdate AS DATE)
+              BETWEEN DATE '{views.COMPARED_WEEKS[0]}' AND DATE '{views.COMPARED_WEEKS[1]}'""",
     "filter_not_missing": f"""WITH {PERSONS}
         SELECT YEAR, MONTH, METFIPS, IND, round({SHARE}, 8) AS rate FROM persons
         WHERE TELWRKPAY <> 0 GROUP BY ALL HAVING sum(WTFINL) <> 0""",

@@ -241,9 +241,10 @@ def filter_in_long_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def filter_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, last = (F.lit(day).cast("date") for day in views.COMPARED_WEEKS)
-    panel = views.supplier_panel(spark, sf_dir)
-    return round_doubles(panel.filter(F.col("data_week").between(first, last)))
+    """Both bounds reach the scan of the ship date."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    kept = op.keep_dates(lines, "l_shipdate", *views.COMPARED_WEEKS)
+    return kept.withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
 
 
 @registered
@@ -409,8 +410,9 @@ def order_series_by_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def row_mean_across_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = views.city_panel(spark, sf_dir)
     rolled = op.rolling_mean(
-        views.city_panel(spark, sf_dir),
+        panel,
         ["city"],
         "data_week",
         "occupancy",
@@ -419,7 +421,7 @@ def row_mean_across_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         axis=views.weeks(spark, sf_dir),
     )
     return round_doubles(
-        op.row_mean_across_series(rolled, "city", "data_week", "mean4", "mean_of_cities")
+        op.row_mean_across_series(rolled, "city", "data_week", "mean4", "mean_of_cities", panel)
     )
 
 
@@ -640,8 +642,10 @@ def employment_series_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def employment_sector_share_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    averages = employment.annual_averages(
-        views.series(spark, sf_dir), views.SERIES_YEAR, LISTED_AREAS
+    """The averages are read for the totals and for the rows, so they are written once."""
+    averages = materialise(
+        employment.annual_averages(views.series(spark, sf_dir), views.SERIES_YEAR, LISTED_AREAS),
+        "annual-averages",
     )
     names = views.area_names(spark, sf_dir)
     shares = employment.sector_shares(

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import operators as op
+from tallyloom.operators import filters as filters_module
 from tallyloom.operators import panel as panel_module
 from tallyloom.operators import recode as recode_module
 from tallyloom.operators import shares as shares_module
@@ -62,11 +63,21 @@ def test_recode_rejects_bad_ranges(spark, ranges):
 
 @pytest.mark.parametrize("limit", [1000, 1])
 def test_keep_listed(spark, monkeypatch, limit):
-    monkeypatch.setattr(recode_module, "_MAX_IN_LIST", limit)
+    monkeypatch.setattr(filters_module, "_MAX_IN_LIST", limit)
     codes = spark.createDataFrame([(37980,), (1,), (None,), (37980,)], "c int")
     assert rows(op.keep_listed(codes, "c", ["37980", "12420"])) == [(37980,), (37980,)]
 
 
+def test_keep_dates_includes_both_days(spark):
+    days = [day(0), day(1), day(2), day(3), None]
+    table = spark.createDataFrame([(d,) for d in days], "d date")
+    kept = [(day(1),), (day(2),)]
+    assert rows(op.keep_dates(table, "d", str(day(1)), str(day(2)))) == kept
+    hours = table.select((F.col("d").cast("timestamp_ntz") + F.expr("INTERVAL 23 HOURS")).alias("t"))
+    late = op.keep_dates(hours, "t", str(day(1)), str(day(2)))
+    assert [r[0].date() for r in rows(late)] == [day(1), day(2)]
+
+
 def test_missing_answers_are_not_in_the_universe(spark):
     people = [(2023, 1, 1, 1, answer, 1.0) for answer in (0, 1, 2, 99, None)]
     asked = telework.person_tallies(spark.createDataFrame(people, schemas.PERSONS))
@@ -345,6 +356,34 @@ def test_share_of_total_sorts_no_group(spark):
     assert "Window" not in plan
 
 
+def test_hot_group_is_split_when_totals_are_too_large_to_broadcast(spark):
+    """With broadcasts off, adaptive execution splits the rows of the hot key."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        n = 60_000
+        key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 1000)
+        table = spark.range(0, n, numPartitions=8).select(
+            "id", key.alias("k"), F.lit(1.0).alias("v"), F.uuid().alias("wide")
+        )
+        shares = op.share_of_total(table, ["k"], "v", "pct")
+        got = {r["k"]: r["pct"] for r in shares.collect()}
+        plan = shares._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert "SortMergeJoin(skew=true)" in plan
+    assert got[-1] == 100 / (n / 3) and len(got) == 1001
+
+
 # --- reshaping ---------------------------------------------------------------------------
 
 

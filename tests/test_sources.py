@@ -95,6 +95,9 @@ class Session:
         self.sparkContext = self
         self.applicationId = "app-1"
 
+    def getCheckpointDir(self):
+        return None
+
     def get(self, name, default=None):
         return self.settings.get(name.removeprefix("spark.").replace(".", "_"), default)
 
