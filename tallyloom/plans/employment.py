@@ -56,17 +56,21 @@ def sector_shares(
 ) -> DataFrame:
     """Percent each supersector has of the employment in its area (long).
 
-    The total is over the listed supersectors only: the series also hold totals of several
-    sectors, which would count jobs twice. The number of areas is bounded by the list.
+    The total is over the listed supersectors that the lookup names: the series also hold
+    totals of several sectors, which would count jobs twice. ``averages`` is read twice, so
+    pass a written table. The number of areas is bounded by the list.
     """
     listed = keep_listed(keep_listed(averages, "supersector_code", sectors), "area_code", areas)
-    shares = share_of_total(
-        listed, ["area_code"], "value", "sector_prop", max_groups=len(areas)
-    )
     named = join_lookup(
-        join_dimension(shares, names, "area_code", "GEOID"), supersectors, "supersector_code"
+        join_dimension(listed, names, "area_code", "GEOID"), supersectors, "supersector_code"
     )
-    return named.select("msa_short_name", "supersector_name", "sector_prop")
+    return share_of_total(
+        named.select("area_code", "msa_short_name", "supersector_name", "value"),
+        ["area_code"],
+        "value",
+        "sector_prop",
+        max_groups=len(areas),
+    ).select("msa_short_name", "supersector_name", "sector_prop")
 
 
 def sector_shares_wide(shares: DataFrame, columns: Sequence[str], sort_by: str) -> DataFrame:

@@ -1,12 +1,21 @@
-"""Every report table from the staged inputs, in one job."""
+"""Every report table from the staged inputs, in one job.
+
+    python -m tallyloom.plans.publish --out FOLDER --panel FILE ...
+
+runs it on staged files: CSV for the panel and the estimates, tab-separated text for the
+series and the supersector lookup, and Parquet or CSV for the person microdata.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import argparse
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import join_lookup, ordered_values
 from ..session import materialise
-from ..sources import write_report
+from ..sources import read_trimmed_tsv, read_typed_csv, schemas, write_report
 from . import employment, estimates, occupancy, telework
 from . import fixed_values as fixed
 
@@ -90,3 +99,47 @@ def publish(
         ),
         "attendance_and_telework",
     )
+
+
+def _column_names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def read_persons(spark: SparkSession, path: str) -> DataFrame:
+    """Person microdata from CSV files (by their ending) or Parquet."""
+    if path.endswith((".csv", ".csv.gz")):
+        return read_typed_csv(spark, path, schemas.PERSONS)
+    return spark.read.schema(schemas.PERSONS).parquet(path)
+
+
+def main(arguments: Sequence[str] | None = None) -> None:
+    parser = argparse.ArgumentParser(description="Write every report table.")
+    for option in (
+        "--out",
+        "--panel",
+        "--metro-estimates",
+        "--nation-estimates",
+        "--county-estimates",
+        "--persons",
+        "--series",
+        "--supersectors",
+    ):
+        parser.add_argument(option, required=True)
+    parser.add_argument("--year", default="2023")
+    given = parser.parse_args(arguments)
+    spark = SparkSession.builder.appName("tallyloom-publish").getOrCreate()
+    publish(
+        given.out,
+        read_typed_csv(spark, given.panel, schemas.OCCUPANCY),
+        read_typed_csv(spark, given.metro_estimates, schemas.ESTIMATES),
+        read_typed_csv(spark, given.nation_estimates, schemas.ESTIMATES),
+        read_typed_csv(spark, given.county_estimates, schemas.ESTIMATES),
+        read_persons(spark, given.persons),
+        read_trimmed_tsv(spark, given.series, _column_names(schemas.SERIES)),
+        read_trimmed_tsv(spark, given.supersectors, _column_names(schemas.SUPERSECTORS)),
+        given.year,
+    )
+
+
+if __name__ == "__main__":
+    main()

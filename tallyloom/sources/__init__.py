@@ -1,5 +1,6 @@
 """Readers of staged files and the writer of report tables."""
 
+from . import schemas
 from .catalogue import catalogue_from_match
 from .delimited import read_typed_csv, read_trimmed_tsv, write_report
 from .fixed_width import read_fixed_width
@@ -9,5 +10,6 @@ __all__ = [
     "read_fixed_width",
     "read_trimmed_tsv",
     "read_typed_csv",
+    "schemas",
     "write_report",
 ]

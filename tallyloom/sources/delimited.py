@@ -15,10 +15,15 @@ from ..functions import blank_to_null, plain_number
 MISSING = "NA"
 
 
-def _blanks_to_null(df: DataFrame) -> DataFrame:
-    """A quoted empty field is read as an empty string; it is missing like an unquoted one."""
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({name: blank_to_null(F.col(name)) for name in texts})
+def _one_missing_value(df: DataFrame) -> DataFrame:
+    """Quoted empty fields, read as empty strings, and NaN become NULL like other gaps."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    texts = [n for n, t in kinds.items() if isinstance(t, T.StringType)]
+    floats = [n for n, t in kinds.items() if isinstance(t, T.DoubleType)]
+    return df.withColumns(
+        {n: blank_to_null(F.col(f"`{n}`")) for n in texts}
+        | {n: F.when(~F.isnan(f"`{n}`"), F.col(f"`{n}`")) for n in floats}
+    )
 
 
 def read_typed_csv(
@@ -39,7 +44,7 @@ def read_typed_csv(
     if corrupt_column:
         schema = f"{schema}, `{corrupt_column}` STRING"
         reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
-    return _blanks_to_null(reader.schema(schema).csv(path))
+    return _one_missing_value(reader.schema(schema).csv(path))
 
 
 def read_trimmed_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -55,7 +60,7 @@ def read_trimmed_tsv(spark: SparkSession, path: str, columns: list[str]) -> Data
         .option("ignoreTrailingWhiteSpace", True)
         .csv(path)
     )
-    return _blanks_to_null(table)
+    return _one_missing_value(table)
 
 
 def write_report(df: DataFrame, path: str) -> None:

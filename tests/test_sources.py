@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 
 from tallyloom import session
-from tallyloom.plans.publish import publish
+from tallyloom.plans.publish import main
 from tallyloom.sources import (
     catalogue_from_match,
     read_fixed_width,
@@ -32,13 +32,15 @@ def written(tmp_path, text: str) -> str:
 def test_typed_csv(spark, tmp_path):
     path = written(
         tmp_path,
-        'code,name,day,n\n06,"A, ""B"", é",2024-01-31,49\nNA,"",NA,\n00,NA,2024-02-01,0.5\n',
+        'code,name,day,n\n06,"A, ""B"", é",2024-01-31,49\nNA,"",NA,\n00,NA,2024-02-01,0.5\n'
+        "01,x,NA,NaN\n",
     )
     table = read_typed_csv(spark, path, "code STRING, name STRING, day DATE, n DOUBLE")
     assert rows(table) == [
         ("06", 'A, "B", é', dt.date(2024, 1, 31), 49.0),
         (None, None, None, None),
         ("00", None, dt.date(2024, 2, 1), 0.5),
+        ("01", "x", None, None),
     ]
 
 
@@ -137,17 +139,25 @@ def test_publish_writes_every_table(spark, tmp_path):
         for state, area in (("42", "37980"), ("17", "16980"))
         for sector, value in (("30", 10), ("40", 30), ("00", 99))
     ]
-    table = spark.createDataFrame
-    publish(
-        str(tmp_path / "out"),
-        table(panel, schemas.OCCUPANCY),
-        table(metros, schemas.ESTIMATES),
-        table(nation, schemas.ESTIMATES),
-        table(counties, schemas.ESTIMATES),
-        table(people, schemas.PERSONS),
-        table(series, schemas.SERIES),
-        table([("30", "Manufacturing"), ("40", "Trade")], schemas.SUPERSECTORS),
-    )
+    inputs = {
+        "panel": (panel, schemas.OCCUPANCY),
+        "metro-estimates": (metros, schemas.ESTIMATES),
+        "nation-estimates": (nation, schemas.ESTIMATES),
+        "county-estimates": (counties, schemas.ESTIMATES),
+        "persons": (people, schemas.PERSONS),
+        "series": (series, schemas.SERIES),
+        "supersectors": ([("30", "Manufacturing"), ("40", "Trade")], schemas.SUPERSECTORS),
+    }
+    arguments = ["--out", str(tmp_path / "out")]
+    for name, (data, schema) in inputs.items():
+        table = spark.createDataFrame(data, schema)
+        path = f"{tmp_path}/{name}" + (".csv" if name == "persons" else "")
+        if name in ("series", "supersectors"):
+            table.write.csv(path, sep="\t", header=True, ignoreLeadingWhiteSpace=False)
+        else:
+            write_report(table, path)
+        arguments += [f"--{name}", path]
+    main(arguments)
 
     def lines(name: str) -> list[str]:
         parts = sorted((tmp_path / "out" / name).glob("part-*.csv"))
