@@ -31,6 +31,9 @@ def read_typed_csv(
 ) -> DataFrame:
     """CSV with a header and a declared schema; empty fields and ``NA`` are missing.
 
+    The header must name the columns of the schema in order; otherwise reading fails, since
+    values would land in the wrong columns.
+
     A field that does not fit its type is missing, and with ``corrupt_column`` the line it
     came from is kept there as text.
     """
@@ -38,6 +41,7 @@ def read_typed_csv(
         spark.read.option("header", True)
         .option("nullValue", MISSING)
         .option("mode", "PERMISSIVE")
+        .option("enforceSchema", False)
         .option("quote", '"')
         .option("escape", '"')
     )
@@ -55,6 +59,7 @@ def read_trimmed_tsv(spark: SparkSession, path: str, columns: list[str]) -> Data
         .option("sep", "\t")
         .option("header", True)
         .option("encoding", "UTF-8")
+        .option("enforceSchema", False)
         .option("nullValue", MISSING)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)

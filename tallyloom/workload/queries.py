@@ -1,5 +1,5 @@
-"""One query per operator and per statistic. Each reads whole tables and stays lazy, except
-the readers, which first write the file they read.
+"""One query per operator and per statistic. Each reads whole tables. Most stay lazy; readers
+first write the file they read, and tables that are read twice are written once.
 
 Computed doubles are rounded to eight decimals at the very end, because the order in which
 an engine adds is its own.
@@ -258,7 +258,7 @@ def filter_not_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def filter_conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return employment.annual_averages(
-        views.series(spark, sf_dir), views.SERIES_YEAR, LISTED_AREAS
+        views.staged_series(spark, sf_dir), views.SERIES_YEAR, LISTED_AREAS
     )
 
 
@@ -642,10 +642,8 @@ def employment_series_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def employment_sector_share_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The averages are read for the totals and for the rows, so they are written once."""
-    averages = materialise(
-        employment.annual_averages(views.series(spark, sf_dir), views.SERIES_YEAR, LISTED_AREAS),
-        "annual-averages",
+    averages = employment.annual_averages(
+        views.staged_series(spark, sf_dir), views.SERIES_YEAR, LISTED_AREAS
     )
     names = views.area_names(spark, sf_dir)
     shares = employment.sector_shares(

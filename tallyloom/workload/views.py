@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import short_place_name, week_start
 from ..operators import union_by_name
+from ..session import materialise
 
 # Fixed values of the views, used by the SQL twins too.
 N_AREAS = 25
@@ -267,6 +268,12 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def staged_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series as a written table, as their publisher's file is: conditions on its
+    columns reach the scan, and reading it twice costs no second pass over the line items."""
+    return materialise(series(spark, sf_dir), "series")
+
+
 def supersectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supersector lookup: a literal relation whose size Spark knows."""
     rows = F.array(

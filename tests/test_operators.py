@@ -356,8 +356,9 @@ def test_share_of_total_sorts_no_group(spark):
     assert "Window" not in plan
 
 
-def test_hot_group_is_split_when_totals_are_too_large_to_broadcast(spark):
-    """With broadcasts off, adaptive execution splits the rows of the hot key."""
+@pytest.fixture
+def no_broadcasts(spark):
+    """Every side too large to broadcast, and small partitions that count as skewed."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -368,20 +369,32 @@ def test_hot_group_is_split_when_totals_are_too_large_to_broadcast(spark):
     before = {name: spark.conf.get(name, None) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)
-    try:
-        n = 60_000
-        key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 1000)
-        table = spark.range(0, n, numPartitions=8).select(
-            "id", key.alias("k"), F.lit(1.0).alias("v"), F.uuid().alias("wide")
-        )
-        shares = op.share_of_total(table, ["k"], "v", "pct")
-        got = {r["k"]: r["pct"] for r in shares.collect()}
-        plan = shares._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def hot_rows(spark, n=60_000):
+    """A third of all rows under one key."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 1000)
+    return spark.range(0, n, numPartitions=8).select(
+        "id", key.alias("k"), F.lit(1.0).alias("v"), F.uuid().alias("wide")
+    )
+
+
+def test_hot_group_is_split_when_totals_are_not_broadcast(spark, no_broadcasts):
+    shares = op.share_of_total(hot_rows(spark), ["k"], "v", "pct")
+    got = {r["k"]: r["pct"] for r in shares.collect()}
+    plan = shares._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin(skew=true)" in plan
-    assert got[-1] == 100 / (n / 3) and len(got) == 1001
+    assert got[-1] == 100 / 20_000 and len(got) == 1001
+
+
+def test_hot_key_is_split_when_a_dimension_is_not_broadcast(spark, no_broadcasts):
+    names = spark.range(-1, 1000).select(F.col("id").alias("key"), F.lit("x").alias("name"))
+    joined = op.join_dimension(hot_rows(spark), names, "k", "key")
+    assert len(joined.collect()) == 60_000
+    assert "SortMergeJoin(skew=true)" in joined._jdf.queryExecution().executedPlan().toString()
 
 
 # --- reshaping ---------------------------------------------------------------------------

@@ -50,8 +50,14 @@ def test_typed_csv_keeps_unreadable_lines(spark, tmp_path):
     assert rows(table) == [(1, 2.5, None), (None, 3.5, "x,3.5")]
 
 
+def test_header_must_match_the_schema(spark, tmp_path):
+    path = written(tmp_path, "b,a\n1,2\n")
+    with pytest.raises(Exception, match="header"):
+        rows(read_typed_csv(spark, path, "a INT, b INT"))
+
+
 def test_trimmed_tsv(spark, tmp_path):
-    path = written(tmp_path, "code\tvalue\tnote\n 06 \t    12.5\t\n00\t  - \tNA\n")
+    path = written(tmp_path, " code \t  value\tnote\n 06 \t    12.5\t\n00\t  - \tNA\n")
     table = read_trimmed_tsv(spark, path, ["code", "value", "note"])
     assert rows(table) == [("06", "12.5", None), ("00", "-", None)]
 
