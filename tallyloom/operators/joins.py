@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,15 +46,19 @@ def attach_denominator(
 
     ``pull`` has one row per geography and variable: keys, ``variable``, ``estimate``,
     ``moe``. ``variables`` maps the wanted names to codes of the pull. A geography without
-    a denominator row keeps its rows, with a missing denominator.
+    a denominator row keeps its rows, with a missing denominator. Two rows of one variable
+    for a geography fail the query.
 
     One conditional aggregate per geography replaces a self join: a single scan, partial
     sums before the only shuffle, and a row per geography however many rows it had.
     """
     code = F.col("variable")
 
-    def value_of(wanted: str, column: str):
-        return F.max(F.when(code == wanted, F.col(column)))
+    def value_of(wanted: str, column: str) -> Column:
+        twice = F.raise_error(F.lit(f"more than one row of {wanted} for a geography"))
+        return F.when(F.count_if(code == wanted) > 1, twice).otherwise(
+            F.max(F.when(code == wanted, F.col(column)))
+        )
 
     wide = (
         pull.filter(code.isin([*variables.values(), denominator]))

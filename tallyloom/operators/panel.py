@@ -21,14 +21,14 @@ _MAX_BROADCAST_GROUPS = 100_000
 def time_axis(df: DataFrame, date: str) -> DataFrame:
     """Distinct dates with their position 0, 1, 2, ...
 
-    Dates are made distinct inside each partition first. Numbering needs one task, but only
-    over distinct calendar days: a DATE has at most 3.7 million values, a century 36,525.
+    Dates are made distinct in every partition, then over all of them. Only calendar days
+    remain to be sorted as one array: a DATE has at most 3.7 million values, a century 36,525.
     """
     if not isinstance(df.schema[date].dataType, T.DateType):
         raise TypeError(f"{date} must be a DATE: the calendar is what bounds the axis")
-    position = F.row_number().over(Window.orderBy(date)) - 1
-    return df.select(date).distinct().filter(F.col(date).isNotNull()).select(
-        date, position.alias("position")
+    days = df.select(date).distinct().filter(F.col(date).isNotNull())
+    return days.agg(F.array_sort(F.collect_list(date)).alias("__days")).select(
+        F.posexplode("__days").alias("position", date)
     )
 
 
@@ -45,8 +45,8 @@ def rolling_mean(
 
     Dates are counted on the axis of *all* dates in the panel, as in a table with a column
     per series: a date missing from one series is a missing value there, not a skipped row.
-    The mean is NULL unless all ``k`` values are present. ``panel`` must be unique by
-    series and date (see ``duplicate_keys``). Pass ``axis`` to read the dates from a cheaper
+    The mean is NULL unless all ``k`` values are present. Two rows for one series and date
+    fail the query (``duplicate_keys`` finds them). Pass ``axis`` to read the dates from a cheaper
     source than an expensive panel.
 
     The grid of series and dates is never filled in: with positions on the common axis, a
@@ -62,11 +62,17 @@ def rolling_mean(
     )
     own_block = F.floor(F.col("__at") / _BLOCK)
     last_block = F.floor((F.col("__at") + k - 1) / _BLOCK)
-    frame = Window.partitionBy(*series, "__block").orderBy("__at").rangeBetween(-(k - 1), 0)
+    in_order = Window.partitionBy(*series, "__block").orderBy("__at")
+    frame, same_date = in_order.rangeBetween(-(k - 1), 0), in_order.rangeBetween(0, 0)
+    twice = F.raise_error(F.lit(f"more than one row for a series and {date}"))
+    mean = (
+        F.when(F.count(F.lit(1)).over(same_date) > 1, twice)
+        .when(F.count(value).over(frame) == k, F.avg(value).over(frame))
+    )
     return (
         panel.join(positions, date)
         .withColumn("__block", F.explode(F.sequence(own_block, last_block)))
-        .withColumn(out, F.when(F.count(value).over(frame) == k, F.avg(value).over(frame)))
+        .withColumn(out, mean)
         .filter(F.col("__block") == own_block)
         .select(*panel.columns, *([] if out in panel.columns else [out]))
     )

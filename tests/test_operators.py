@@ -125,6 +125,16 @@ def test_attach_denominator(spark):
     ]
 
 
+def test_attach_denominator_rejects_two_rows(spark):
+    for twice in ("n", "d"):
+        pull = [("1", "A", "n", 5.0, 1.0), ("1", "A", "d", 9.0, 1.0), ("1", "A", twice, 6.0, 1.0)]
+        table = spark.createDataFrame(
+            pull, "GEOID string, NAME string, variable string, estimate double, moe double"
+        )
+        with pytest.raises(Exception, match="more than one row of"):
+            op.attach_denominator(table, {"wfh": "n"}, "d").collect()
+
+
 def schemas_names(schema: str) -> list[str]:
     return [field.split()[0] for field in schema.split(", ")]
 
@@ -297,6 +307,11 @@ def test_rolling_mean_has_no_cross_join_or_grid(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_rolling_mean_rejects_two_rows_for_a_date(spark):
+    with pytest.raises(Exception, match="more than one row"):
+        rolled(spark, [("a", day(0), 1.0), ("a", day(1), 2.0), ("a", day(1), 2.0)])
+
+
 def test_time_axis_needs_dates(spark):
     with pytest.raises(TypeError):
         op.time_axis(spark.range(3), "id")
