@@ -46,8 +46,8 @@ def rolling_mean(
     Dates are counted on the axis of *all* dates in the panel, as in a table with a column
     per series: a date missing from one series is a missing value there, not a skipped row.
     The mean is NULL unless all ``k`` values are present. Two rows for one series and date
-    fail the query (``duplicate_keys`` finds them). Pass ``axis`` to read the dates from a cheaper
-    source than an expensive panel.
+    fail the query (``duplicate_keys`` finds them). Pass ``axis`` to read the dates from a
+    cheaper source than an expensive panel.
 
     The grid of series and dates is never filled in: with positions on the common axis, a
     range frame of ``k`` positions and a count of its values say the same. The axis is cut
@@ -110,7 +110,8 @@ def row_mean(wide: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
 def latest_values(panel: DataFrame, series: str, date: str, value: str, out: str) -> DataFrame:
     """Value of every series on the newest date of the whole panel, NULL where it has none.
 
-    The newest date is a scalar subquery that reads the date column only. Sort by ``out`` descending, missing last, to order series by their latest value.
+    The newest date is a scalar subquery that reads the date column only. Sort by ``out``
+    descending, missing last, to order series by their latest value.
     """
     newest = panel.agg(F.max(date)).scalar()
     return panel.groupBy(series).agg(

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import moe_of_proportion, ratio_pct, short_place_name
-from ..operators import keep_listed, sort_desc_nulls_last, union_by_name
+from ..operators import attach_denominator, keep_listed, sort_desc_nulls_last, union_by_name
+from . import fixed_values as fixed
+
+
+def working_from_home(pull: DataFrame) -> DataFrame:
+    """Estimates of workers who work from home beside those of all workers."""
+    return attach_denominator(pull, fixed.WFH_VARIABLES, fixed.WORKERS_VARIABLE)
 
 
 def stacked_estimates(*levels: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ NATION_ID = "1"
 
 # The metropolitan area studied by industry, and the ones compared by employment.
 FOCUS_METRO = "37980"
+FOCUS_CITY = "Philadelphia"
+FOCUS_PREFIX, NATION_PREFIX = "philly", "us"
 EMPLOYMENT_METROS = ["16980", "19100", "35620", "37980"]
 
 # Counties of the focus area.

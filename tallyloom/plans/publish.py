@@ -30,8 +30,6 @@ def publish(
     series: DataFrame,
     supersectors: DataFrame,
     year: str = "2023",
-    focus_name: str = "philly",
-    focus_city: str = "Philadelphia",
 ) -> None:
     """Write the report tables below ``folder``, a directory of CSV files each.
 
@@ -64,7 +62,10 @@ def publish(
         write(wide.orderBy("date"), f"telework_by_month_{label}_wide")
     write(
         telework.by_total_rate(
-            telework.sector_rates(cube, fixed.FOCUS_METRO, focus_name, "us"), "us"
+            telework.sector_rates(
+                cube, fixed.FOCUS_METRO, fixed.FOCUS_PREFIX, fixed.NATION_PREFIX
+            ),
+            fixed.NATION_PREFIX,
         ),
         "telework_by_sector",
     )
@@ -86,7 +87,8 @@ def publish(
     )
     columns = ordered_values(named, "msa_short_name", ["series_id"])
     write(
-        employment.sector_shares_wide(compared, columns, focus_city), "employment_share_by_sector"
+        employment.sector_shares_wide(compared, columns, fixed.FOCUS_CITY),
+        "employment_share_by_sector",
     )
 
     cities = ordered_values(panel, "city", ["city"])

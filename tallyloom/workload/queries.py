@@ -533,14 +533,10 @@ def moe_of_proportion(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- whole statistics --------------------------------------------------------------------
 
 
-def _with_denominator(pull: DataFrame) -> DataFrame:
-    return op.attach_denominator(pull, fixed.WFH_VARIABLES, fixed.WORKERS_VARIABLE)
-
-
 def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimates.stacked_estimates(
-        _with_denominator(views.metro_pull(spark, sf_dir)),
-        _with_denominator(views.total_pull(spark, sf_dir)),
+        estimates.working_from_home(views.metro_pull(spark, sf_dir)),
+        estimates.working_from_home(views.total_pull(spark, sf_dir)),
     )
 
 
@@ -669,6 +665,6 @@ def occupancy_and_telework(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def wfh_share_by_county(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = estimates.shares(
-        _with_denominator(views.county_pull(spark, sf_dir)), views.LISTED_SUPPLIERS
+        estimates.working_from_home(views.county_pull(spark, sf_dir)), views.LISTED_SUPPLIERS
     )
     return round_doubles(estimates.by_share(shares))

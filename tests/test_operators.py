@@ -88,8 +88,11 @@ def test_missing_answers_are_not_in_the_universe(spark):
 
 
 def test_join_null_safe(spark):
-    left = spark.createDataFrame([("a", "x", 1), (None, None, 2), ("b", None, 3)], "k1 string, k2 string, l int")
-    right = spark.createDataFrame([("a", "x", 10), (None, None, 20), ("b", "y", 30)], "k1 string, k2 string, r int")
+    keys = "k1 string, k2 string"
+    left = spark.createDataFrame([("a", "x", 1), (None, None, 2), ("b", None, 3)], f"{keys}, l int")
+    right = spark.createDataFrame(
+        [("a", "x", 10), (None, None, 20), ("b", "y", 30)], f"{keys}, r int"
+    )
     joined = op.join_null_safe(left, right, ["k1", "k2"])
     assert joined.columns == ["k1", "k2", "l", "r"]
     assert sorted(rows(joined), key=lambda r: r[2]) == [("a", "x", 1, 10), (None, None, 2, 20)]
