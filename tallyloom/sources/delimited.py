@@ -35,7 +35,8 @@ def read_typed_csv(
     values would land in the wrong columns.
 
     A field that does not fit its type is missing, and with ``corrupt_column`` the line it
-    came from is kept there as text.
+    came from is kept there as text. Spark parses the selected columns only, so keep the
+    columns to be checked in the query.
     """
     reader = (
         spark.read.option("header", True)
@@ -69,7 +70,7 @@ def read_trimmed_tsv(spark: SparkSession, path: str, columns: list[str]) -> Data
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """Write a table as CSV with a header and ``NA`` for missing values.
+    """Write a table as CSV with a header and ``NA`` for missing values, replacing ``path``.
 
     Whole numbers are written without ``.0``. Sorted input stays sorted from file to file;
     the table is not squeezed into one file, since that would put it through one task.
