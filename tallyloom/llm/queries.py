@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .mixing import mix_sources
+from .pieces import token_digests
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -67,3 +68,17 @@ mixed AS (
 ORACLE["op8_mix_sources"] = (
     MIX_SQL.format(docs="documents") + "SELECT doc_id, size, source_size, target, taken FROM mixed"
 )
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@registered
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents, encoded and decoded again."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    return token_digests(read_table(spark, sf_dir, "documents"), path)
