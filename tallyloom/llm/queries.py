@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .mixing import mix_sources
 from .pieces import token_digests
+from .tokenfile import read_documents, write_segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -82,3 +83,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of all documents, encoded and decoded again."""
     path = tokenizer_path("piece_bpe_32k.model")
     return token_digests(read_table(spark, sf_dir, "documents"), path)
+
+
+@registered
+def op1_token_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document, read back from segment files."""
+    docs = read_table(spark, sf_dir, "documents")
+    return read_documents(spark, write_segments(docs, tokenizer_path("word_bpe_49k.json")))

@@ -1,0 +1,17 @@
+"""The session of the other tests, and the vocabulary files."""
+
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+
+@pytest.fixture(scope="session")
+def vocabulary():
+    return public_tokenizers.path
