@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .fingerprints import fingerprint_documents
 from .mixing import mix_sources
 from .pieces import token_digests
 from .tokenfile import read_documents, write_segments
@@ -90,3 +91,9 @@ def op1_token_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document, read back from segment files."""
     docs = read_table(spark, sf_dir, "documents")
     return read_documents(spark, write_segments(docs, tokenizer_path("word_bpe_49k.json")))
+
+
+@registered
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edits, and how alike these are."""
+    return fingerprint_documents(read_table(spark, sf_dir, "documents"))

@@ -1,0 +1,83 @@
+"""Fingerprints against exact shingle sets, and the order of documents."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from tallyloom.llm import fingerprints as fp
+from tallyloom.llm import order
+
+
+def words(rng, n):
+    return [f"w{rng.randrange(5_000)}" for _ in range(n)]
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_likeness_is_near_the_share_of_common_shingles():
+    rng = random.Random(3)
+    errors = []
+    for size in (8, 40, 300, 3_000):
+        for part in (0.0, 0.3, 0.6, 0.9, 1.0):
+            a = words(rng, size)
+            keep = int(size * part)
+            b = a[:keep] + words(rng, size - keep)
+            left, right = " ".join(a), " ".join(b)
+            low = fp.sketch(pa.array([left, right]))
+            x, y = shingles(left), shingles(right)
+            errors.append(fp.likeness(low[:1], low[1:])[0] - len(x & y) / len(x | y))
+    assert np.max(np.abs(errors)) < 0.17 and abs(np.mean(errors)) < 0.03
+
+
+def test_equal_texts_in_other_batches_are_equal():
+    texts = ["one two", "", "  ", "a b c d e f g", "x" * 100_000]
+    alone = [fp.pack(fp.sketch(pa.array([t])))[0] for t in texts]
+    assert alone == fp.pack(fp.sketch(pa.array(texts)))
+    assert alone[1] == alone[2] == "" and len(alone[0]) == fp.BINS * fp.BITS // 4
+
+
+def expected(data):
+    rows = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    out = {}
+    for i, (doc_id, text) in enumerate(rows):
+        text, after = text or "", rows[(i + 1) % len(rows)][1] or ""
+        third = len(text) // 3
+        edit = text[: len(text) - third] + after[:third]
+        out[doc_id] = (len(text), hashlib.sha256(edit.encode()).hexdigest())
+    return out
+
+
+def check(spark, data, n_parts=3):
+    df = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, range string")
+    got = fp.fingerprint_documents(df.repartition(n_parts)).collect()
+    assert {r["doc_id"]: (r["n_chars"], r["edited_sha256"]) for r in got} == expected(data)
+    assert len(got) == len(data)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    return got
+
+
+def test_next_document_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(order, "RANGE_ROWS", 7)
+    rng = random.Random(5)
+    data = [(i * 3 - 40, " ".join(words(rng, rng.randint(0, 60))) + "é😀") for i in range(100)]
+    data += [(None, "no id"), (10_001, None), (10_002, ""), (10_003, "z" * 50_000)]
+    check(spark, data)
+
+
+def test_one_document_and_none(spark):
+    got = check(spark, [(4, "a b c d e f g h")])
+    assert got[0]["near_next"] == 1.0
+    check(spark, [])
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "same words")] * 5, "doc_id long, text string")
+    got = fp.fingerprint_documents(df).collect()
+    assert len(got) == 5 and len({r["fingerprint"] for r in got}) == 1
