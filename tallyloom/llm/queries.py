@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .fingerprints import fingerprint_documents
+from .knn import scaled_vectors, top_k
 from .mixing import mix_sources
 from .pieces import token_digests
 from .tokenfile import read_documents, write_segments
@@ -97,3 +98,26 @@ def op1_token_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edits, and how alike these are."""
     return fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
+@registered
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best other vectors of every 50th vector."""
+    vectors = scaled_vectors(read_table(spark, sf_dir, "embeddings"))
+    return top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, 5)
+
+
+ORACLE["op5_top_k"] = """
+WITH parts AS (
+  SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+whole AS (
+  SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM parts),
+scores AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(sum(q.x * d.x) AS BIGINT) AS score
+  FROM whole q JOIN whole d ON q.i = d.i AND q.vec_id <> d.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
