@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .fingerprints import fingerprint_documents
+from .html import extract_pages
 from .knn import scaled_vectors, top_k
 from .mixing import mix_sources
 from .pieces import token_digests
@@ -121,3 +122,9 @@ ranked AS (
   FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@registered
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(read_table(spark, sf_dir, "pages"))
