@@ -13,6 +13,7 @@ from .html import extract_pages
 from .knn import scaled_vectors, top_k
 from .mixing import mix_sources
 from .pieces import token_digests
+from .quality import score_quality
 from .tokenfile import read_documents, write_segments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +129,9 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+@registered
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document and whether it is kept."""
+    return score_quality(read_table(spark, sf_dir, "documents"))

@@ -12,6 +12,8 @@ import pytest
 
 from tallyloom.llm import pieces, tokenfile
 
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
 MIXED = [
     "a", "b", "th", "er", " ", "  ", "▁", "\n", "é", "中", "😀", "\x00", "the", "!!", "***", "1", "22",
     "'s", "'T", "don't", "<|endoftext|>", "<|", "é", "́", "İ", "ﬁ", "=", "̸", "»", " ",
@@ -19,6 +21,11 @@ MIXED = [
 ]
 
 
+@pytest.fixture(scope="module")
+def vocabulary():
+    return public_tokenizers.path
+
+
 def texts(n: int = 600) -> list[str]:
     rng = random.Random(7)
     made = ["".join(rng.choice(MIXED) for _ in range(rng.randint(0, 50))) for _ in range(n)]
