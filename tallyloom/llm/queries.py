@@ -14,6 +14,7 @@ from .knn import scaled_vectors, top_k
 from .mixing import mix_sources
 from .pieces import token_digests
 from .quality import score_quality
+from .toxicity import score_toxicity
 from .tokenfile import read_documents, write_segments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +136,10 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document and whether it is kept."""
     return score_quality(read_table(spark, sf_dir, "documents"))
+
+
+@registered
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from labels that are not held out."""
+    labels = read_table(spark, sf_dir, "labels")
+    return score_toxicity(read_table(spark, sf_dir, "documents"), labels)
