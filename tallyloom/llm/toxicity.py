@@ -38,7 +38,7 @@ LEXICON_TERMS = 400
 SCREEN = 6.0
 _FEATURES = 1 << 18
 # Bytes of a word's beginning that make a term, beside the whole word.
-_LENGTHS = (4, 5, 6)
+_LENGTHS = (4, 5, 6, 7, 8)
 
 # Fixed value: common English words of insult and contempt.
 INSULTS = (
@@ -51,14 +51,15 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _INSIDE = np.zeros(256, bool)
 _INSIDE[ord("a") : ord("z") + 1] = True
 _INSIDE[0x80:] = True
+_TERM = np.uint64((1 << 48) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the terms of all words, and the text each belongs to.
 
-    Words are runs of letters and of bytes beyond ASCII. A term is the beginning of a word, 4, 5 or 6
-    bytes long; a shorter word is a term itself.
+    Words are runs of letters and of bytes beyond ASCII. A term is the beginning of a word, of 4 to 8
+    bytes; a shorter word is a term itself.
     """
     data = _LOWER[data]
     inside = _INSIDE[data]
@@ -87,20 +88,26 @@ def word_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def text_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct terms of each text: term hashes (48 bits kept) and texts, in order of texts."""
+    """The distinct terms of each text: term hashes (48 bits kept) and texts, in order of texts.
+
+    A term that stands twice, or three times, in a text gives a further term for that.
+    """
     data, offsets = flat_bytes(texts)
-    keep = np.uint64((1 << 48) - 1)
-    out_terms, out_owner = [], []
+    out_terms, out_owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     # Texts by the thousand, so that a text's number fits above its 48-bit terms.
     for start in range(0, len(texts), 1 << 15):
         stop = min(len(texts), start + (1 << 15))
         part = offsets[start : stop + 1]
         terms, owner = word_terms(data[part[0] : part[-1]], part - part[0])
-        keys = np.unique(owner.astype(np.uint64) << np.uint64(48) | terms & keep)
-        out_terms.append(keys & keep)
+        keys, n = np.unique(owner.astype(np.uint64) << np.uint64(48) | terms & _TERM, return_counts=True)
+        repeated = [keys]
+        for times in (2, 3):
+            some = keys[n >= times]
+            again = mix((some & _TERM) ^ np.uint64(times)) & _TERM
+            repeated.append(some >> np.uint64(48) << np.uint64(48) | again)
+        keys = np.sort(np.concatenate(repeated))
+        out_terms.append(keys & _TERM)
         out_owner.append((keys >> np.uint64(48)).astype(np.int64) + start)
-    if not out_terms:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out_terms), np.concatenate(out_owner)
 
 
@@ -109,9 +116,8 @@ def lexicon_hashes(words: tuple[str, ...]) -> np.ndarray:
     texts = pa.array([w[: max(_LENGTHS)] for w in words])
     data, offsets = flat_bytes(texts)
     terms, owner = word_terms(data, offsets)
-    keep = np.uint64((1 << 48) - 1)
     # The last term of a word is its longest.
-    return np.unique([terms[owner == i][-1] & keep for i in range(len(words))]).astype(np.uint64)
+    return np.unique([terms[owner == i][-1] & _TERM for i in range(len(words))]).astype(np.uint64)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -262,31 +268,6 @@ def _patterns(docs: DataFrame, known: DataFrame, voters: Voters) -> list:
     )
 
 
-def train_on_evidence(data: SparseRows, target: np.ndarray, size: int) -> tuple[np.ndarray, float]:
-    """Weights of the features that tell the classes apart, and a bias.
-
-    Long texts would gather weight by chance from many features without evidence. So features
-    are first screened by how far their texts' labels lie from the average in standard errors,
-    then a lasso chooses among them, and the chosen ones are fitted without its shrinkage.
-    """
-    weights, mean = np.zeros(size), target.mean() if len(target) else 0.5
-    counts = np.bincount(data.place, minlength=size)
-    spread = np.sqrt(np.maximum(counts * mean * (1 - mean), 1e-9))
-    kept = np.flatnonzero(np.abs(data.back(target - mean, size)) >= SCREEN * spread)
-    bias = float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
-    for lasso, ridge in ((1e-3, 0.0), (0.0, 1e-5)):
-        place = np.full(size, -1)
-        place[kept] = np.arange(len(kept))
-        own = place[data.place]
-        used = own >= 0
-        rows = SparseRows(own[used], data.value[used], np.bincount(data.row[used], minlength=data.n))
-        found, bias = train_linear(rows, target, len(kept), lasso=lasso, ridge=ridge, rounds=400)
-        weights[:] = 0
-        weights[kept] = found
-        kept = np.flatnonzero(weights)
-    return weights, bias
-
-
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); held-out labels are not read."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -304,27 +285,84 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     first = np.where((votes == 1).any(1), 0.9, 0.05)
     labeller = fit(votes, table[:, 2], np.stack([1 - first, first], axis=1), known=table[:, :2], correlated=True)
 
-    def make():
+    chosen = _with_labels(sample(docs, rows), known)
+    return ToxicityModel(*_train_classifier(chosen, voters, labeller), labeller)
+
+
+def _train_classifier(docs: DataFrame, voters: Voters, labeller: LabelModel) -> tuple[np.ndarray, float]:
+    """Fit weights of hashed terms and a bias to the posterior labels of rows (text, label).
+
+    Long texts would gather weight by chance from many features without evidence. So features
+    are first screened by how far their texts' labels lie from the average in standard errors,
+    then a lasso chooses among them, and the chosen ones are fitted without its shrinkage.
+    """
+
+    def targets(batch: pa.RecordBatch, texts: pa.Array) -> np.ndarray:
+        label = batch.column(1).to_numpy().astype(np.int64)
+        # Where the label is known, so is the posterior.
+        return np.where(label < 2, label, labeller.posterior(voters.cast(texts)))
+
+    def make_counts():
         def work(batch: pa.RecordBatch) -> dict:
             texts = text_column(batch, "text")
-            places, counts = hashed_terms(texts)
-            cuts = np.cumsum(counts)[:-1]
-            packed = [p.astype("<i4").tobytes() for p in np.split(places, cuts)]
-            return {"label": batch.column(1), "pattern": pattern_key(voters.cast(texts)), "place": packed}
+            target = targets(batch, texts)
+            place, counts = hashed_terms(texts)
+            found, at = np.unique(place, return_inverse=True)
+            sums = np.bincount(at, np.repeat(target, counts), len(found))
+            # The last row counts the texts themselves.
+            return {
+                "place": np.append(found, -1),
+                "n": np.append(np.bincount(at, minlength=len(found)), len(texts)),
+                "toxic": np.append(sums, target.sum()),
+            }
 
         return work
 
-    chosen = _with_labels(sample(docs, rows), known)
-    sampled = map_pieces(chosen, "text", "label int, pattern long, place binary", make).collect()
-    target = labeller.posterior(pattern_votes(np.array([r["pattern"] for r in sampled], np.int64), voters.n))
-    # Where the label is known, so is the posterior.
-    label = np.array([r["label"] for r in sampled], np.int64)
-    target = np.where(label < 2, label, target)
+    evidence = materialise(
+        map_pieces(docs, "text", "place long, n long, toxic double", make_counts)
+        .groupBy("place")
+        .agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")),
+        "toxic-evidence",
+    )
+    total = evidence.filter("place = -1").first()
+    mean = total["toxic"] / total["n"] if total else 0.0
+    bias = float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
+    weights = np.zeros(_FEATURES)
+    spread = F.sqrt(F.col("n") * mean * (1 - mean))
+    strong = F.abs(F.col("toxic") - F.col("n") * mean) >= SCREEN * spread
+    kept = np.array(sorted(r["place"] for r in evidence.filter((F.col("place") >= 0) & strong).collect()), np.int64)
+    if not 0 < mean < 1 or not len(kept):
+        return weights, bias
+
+    def make_rows():
+        def work(batch: pa.RecordBatch) -> dict:
+            texts = text_column(batch, "text")
+            place, counts = hashed_terms(texts)
+            owner = np.repeat(np.arange(len(texts)), counts)
+            own = np.isin(place, kept)
+            cuts = np.searchsorted(owner[own], np.arange(1, len(texts)))
+            packed = [np.searchsorted(kept, p).astype("<i4").tobytes() for p in np.split(place[own], cuts)]
+            return {"target": targets(batch, texts), "place": packed}
+
+        return work
+
+    sampled = map_pieces(docs, "text", "target double, place binary", make_rows).collect()
+    target = np.array([r["target"] for r in sampled])
     places = [np.frombuffer(r["place"], "<i4") for r in sampled]
-    flat = np.concatenate([np.zeros(0, np.int32), *places])
-    data = SparseRows(flat, np.ones(len(flat), np.float32), np.array([len(p) for p in places], np.int64))
-    weights, bias = train_on_evidence(data, target, _FEATURES)
-    return ToxicityModel(weights, bias, labeller)
+    counts = np.array([len(p) for p in places], np.int64)
+    flat = np.concatenate(places).astype(np.int64)
+    chosen = np.arange(len(kept))
+    for lasso, ridge in ((1e-3, 0.0), (0.0, 1e-5)):
+        at = np.full(len(kept), -1)
+        at[chosen] = np.arange(len(chosen))
+        used = at[flat] >= 0
+        n = np.bincount(np.repeat(np.arange(len(counts)), counts)[used], minlength=len(counts))
+        rows = SparseRows(at[flat][used], np.ones(int(used.sum())), n)
+        found, bias = train_linear(rows, target, len(chosen), lasso=lasso, ridge=ridge, rounds=400)
+        weights[:] = 0
+        weights[kept[chosen]] = found
+        chosen = chosen[found != 0]
+    return weights, bias
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:

@@ -84,4 +84,4 @@ def test_held_out_accuracy(spark):
     rows = scored.filter("held_out").join(labels, "doc_id").collect()
     toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
     clean = [r["predicted"] for r in rows if r["toxic"] == 0]
-    assert np.mean(toxic) > 0.9 and np.mean(clean) < 0.03
+    assert np.mean(toxic) > 0.8 and np.mean(clean) < 0.03
