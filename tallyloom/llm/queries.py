@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .pieces import token_digests
 from .quality import score_quality
 from .toxicity import score_toxicity
+from .simjoin import jaccard_components
 from .tokenfile import read_documents, write_segments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +144,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from labels that are not held out."""
     labels = read_table(spark, sf_dir, "labels")
     return score_toxicity(read_table(spark, sf_dir, "documents"), labels)
+
+
+@registered
+def op2_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies that each document belongs to."""
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
