@@ -13,6 +13,7 @@ from .html import extract_pages
 from .knn import scaled_vectors, top_k
 from .mixing import mix_sources
 from .pieces import token_digests
+from .pii import find_personal_data
 from .quality import score_quality
 from .toxicity import score_toxicity
 from .simjoin import jaccard_components
@@ -150,3 +151,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near copies that each document belongs to."""
     return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+@registered
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts and places."""
+    return find_personal_data(read_table(spark, sf_dir, "documents"))
