@@ -197,11 +197,12 @@ def train_quality(docs: DataFrame, rows: int = SAMPLE_ROWS) -> QualityModel:
     votes, counts = vote_patterns(docs)
     if not len(votes):
         return QualityModel(np.zeros(_FEATURES), 0.0, np.full(N_VOTERS, 0.5))
-    # Junk of one kind passes the tests of others, so every voter starts a kind of bad documents.
-    start = np.concatenate([(votes == 0) + 0.0, np.full((len(votes), 1), 0.1)], axis=1)
-    start[(votes != 0).all(1)] = [0.05 / N_VOTERS] * N_VOTERS + [0.95]
+    # Junk of one kind passes the tests of others, so every voter that casts a bad vote starts a
+    # kind of bad documents; documents without one start as good.
+    kinds = np.flatnonzero((votes == 0).any(0))
+    start = np.concatenate([(votes[:, kinds] == 0) + 0.0, np.full((len(votes), 1), 0.1)], axis=1)
     start /= start.sum(1, keepdims=True)
-    labeller = fit(votes, counts, start, classes=(0,) * N_VOTERS + (1,))
+    labeller = fit(votes, counts, start, classes=(0,) * len(kinds) + (1,))
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:

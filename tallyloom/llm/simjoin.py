@@ -55,20 +55,25 @@ def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
 
 
 def classify(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, n, class): set size and a hash of the set, which equal sets share; NULL if empty."""
+    """(doc_id, mark, n, class): set size and a hash of the set, which equal sets share; NULL if empty.
+
+    ``mark`` is a hash of the text as it stands, which tells rows with the same doc_id apart.
+    """
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             sets = _sets(batch, size)
             return {
                 "doc_id": batch.column(0),
+                "mark": batch.column(2),
                 "n": [len(s) for s in sets],
                 "class": [_signature(s) if len(s) else None for s in sets],
             }
 
         return work
 
-    return map_pieces(docs.select("doc_id", "text"), "text", "doc_id long, n long, class long", make)
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return map_pieces(marked, "text", "doc_id long, mark long, n long, class long", make)
 
 
 def _short(grams: np.ndarray) -> np.ndarray:
@@ -440,6 +445,20 @@ def least_members(links: DataFrame, label: str = "least") -> DataFrame:
             return labels
 
 
+def _components(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, mark, n, class, component): a row for each document, labels NULL for empty sets."""
+    fragments = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    classified = materialise(classify(docs, size), "join-classes")
+    hot = hot_grams(docs, size, fragments)
+    groups = materialise(meeting_groups(docs, hot, size, fragments), "join-groups")
+    sets = member_sets(docs, groups.select("class").distinct(), size)
+    labels = least_members(materialise(linked_classes(groups, sets), "join-links"))
+    labels = labels.select(F.col("class").alias("of"), "least")
+    return classified.join(labels, F.col("class") == F.col("of"), "left").select(
+        "doc_id", "mark", "n", "class", F.coalesce("least", "class").alias("component")
+    )
+
+
 def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id.
 
@@ -450,21 +469,35 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     separate rows; a document without one has the component of its links, or none. An empty
     table gives an empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    fragments = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    classified = materialise(classify(docs, size), "join-classes")
-    hot = hot_grams(docs, size, fragments)
-    groups = materialise(meeting_groups(docs, hot, size, fragments), "join-groups")
-    sets = member_sets(docs, groups.select("class").distinct(), size)
-    labels = least_members(materialise(linked_classes(groups, sets), "join-links"))
-    of_class = classified.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("low"))
-    of_class = of_class.join(labels, "class", "left").select(
-        F.col("class").alias("of"), "low", F.coalesce("least", "class").alias("component")
-    )
-    of_component = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = of_class.join(of_component, "component").select("of", "component_id")
-    return classified.join(named, F.col("class") == F.col("of"), "left").select(
+    rows = materialise(_components(docs.select(F.col("doc_id").cast("long"), "text"), size), "join-rows")
+    known = rows.filter(F.col("component").isNotNull())
+    named = known.groupBy(F.col("component").alias("of")).agg(F.min("doc_id").alias("component_id"))
+    return rows.join(named, F.col("component") == F.col("of"), "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their components.
+
+    Of each component the document with the least doc_id stays, of several with that id the one
+    with the least hash of its text, and of equal rows one. Documents without words all stay.
+    """
+    rows = materialise(_components(docs.select(F.col("doc_id").cast("long"), "text"), size), "join-rows")
+    rows = rows.filter(F.col("component").isNotNull())
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    first = rows.groupBy(F.col("component").alias("of")).agg(F.min(rank).alias("first"))
+    judged = rows.join(first, F.col("component") == F.col("of")).select(
+        F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), (rank == F.col("first")).alias("stays")
     )
+    counted = judged.groupBy("of_id", "of_mark", "stays").agg(F.count(F.lit(1)).alias("n"))
+    marks = materialise(counted.filter(~F.col("stays") | (F.col("n") > 1)), "join-marks")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_mark"))
+    kept = docs.join(marks, same, "left_anti")
+    repeated = marks.filter("stays")
+    if repeated.isEmpty():
+        return kept
+    once = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(once)
