@@ -5,28 +5,19 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Beyond this size an IN list makes generated code too long to compile well.
-_MAX_IN_LIST = 1_000
-
 
 def keep_listed(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     """Rows whose value is in a list.
 
-    The list takes the type of the column, so that codes given as text find integer codes.
-    Short lists become an ``IN`` predicate, which reaches the scan; long ones a semi join,
-    whose strategy Spark picks from the size of the list.
+    Each value takes the type of the column by itself, so that codes given as text, as numbers
+    or mixed find integer codes. A list of any length is one ``IN`` predicate, which Spark
+    keeps as a hash set beyond a few values and which reaches the scan.
     """
     type_ = df.schema[column].dataType
-    if len(values) <= _MAX_IN_LIST:
-        return df.filter(F.col(column).isin([F.lit(v).cast(type_) for v in values]))
-    # An Arrow table becomes a local relation, whose size Spark knows when it plans the join.
-    entries = pa.table({"__listed": pa.array(dict.fromkeys(values))})
-    listed = df.sparkSession.createDataFrame(entries).select(F.col("__listed").cast(type_))
-    return df.join(listed, F.col(column) == F.col("__listed"), "left_semi")
+    return df.filter(F.col(column).isin([F.lit(v).cast(type_) for v in dict.fromkeys(values)]))
 
 
 def keep_dates(df: DataFrame, column: str, first: str, last: str) -> DataFrame:

@@ -14,8 +14,6 @@ from ..session import materialise
 
 # Dates per window partition. Bounds the rows one task sorts for one series.
 _BLOCK = 4_096
-# Broadcast totals of at most this many groups when the caller has proven the number.
-_MAX_BROADCAST_GROUPS = 100_000
 
 
 def time_axis(df: DataFrame, date: str) -> DataFrame:
@@ -47,7 +45,8 @@ def rolling_mean(
     per series: a date missing from one series is a missing value there, not a skipped row.
     The mean is NULL unless all ``k`` values are present. Two rows for one series and date
     fail the query (``duplicate_keys`` finds them). Pass ``axis`` to read the dates from a
-    cheaper source than an expensive panel.
+    cheaper source than an expensive panel. A row without a date, or with one that the axis
+    lacks, fails the query too.
 
     The grid of series and dates is never filled in: with positions on the common axis, a
     range frame of ``k`` positions and a count of its values say the same. The axis is cut
@@ -69,8 +68,10 @@ def rolling_mean(
         F.when(F.count(F.lit(1)).over(same_date) > 1, twice)
         .when(F.count(value).over(frame) == k, F.avg(value).over(frame))
     )
+    lost = F.raise_error(F.concat(F.lit(f"{date} not on the axis: "), F.coalesce(F.col(date).cast("string"), F.lit("NULL"))))
     return (
-        panel.join(positions, date)
+        panel.join(positions, date, "left")
+        .withColumn("__at", F.when(F.col("__at").isNotNull(), F.col("__at")).otherwise(lost))
         .withColumn("__block", F.explode(F.sequence(own_block, last_block)))
         .withColumn(out, mean)
         .filter(F.col("__block") == own_block)
@@ -111,12 +112,14 @@ def latest_values(panel: DataFrame, series: str, date: str, value: str, out: str
     """Value of every series on the newest date of the whole panel, NULL where it has none.
 
     The newest date is a scalar subquery that reads the date column only. Sort by ``out``
-    descending, missing last, to order series by their latest value.
+    descending, missing last, to order series by their latest value. Two rows of a series on
+    that date fail the query.
     """
     newest = panel.agg(F.max(date)).scalar()
-    return panel.groupBy(series).agg(
-        F.max(F.when(F.col(date) == newest, F.col(value))).alias(out)
-    )
+    on_newest = F.col(date) == newest
+    twice = F.raise_error(F.lit(f"more than one row for a series and {date}"))
+    latest = F.when(F.count_if(on_newest) > 1, twice).otherwise(F.max(F.when(on_newest, F.col(value))))
+    return panel.groupBy(series).agg(latest.alias(out))
 
 
 def share_of_total(
@@ -124,7 +127,6 @@ def share_of_total(
     keys: Sequence[str],
     value: str,
     out: str,
-    max_groups: int | None = None,
 ) -> DataFrame:
     """Percentage each row's value has of its group's total; all rows are kept.
 
@@ -133,11 +135,9 @@ def share_of_total(
     ``df`` is read twice; write it first if it is costly to compute.
 
     A window over the group would sort each group in one task. Instead the totals are added
-    up (partial sums first) and joined back. With ``max_groups``, a number of groups the
-    caller can prove (say from a list it filtered by), small totals are broadcast and
-    everything stays lazy. Without it the totals are written once to the shared folder, so
-    Spark plans the join on their true size: a broadcast if they are small, else a merge
-    join whose skewed keys adaptive execution can split.
+    up (partial sums first) and joined back. They are written once to the shared folder, in a
+    job that this call runs, so Spark plans the join on their true size: a broadcast if they
+    are small, else a merge join whose skewed keys adaptive execution can split.
     """
     if value == out:
         raise ValueError("the share needs a name of its own")
@@ -147,10 +147,7 @@ def share_of_total(
         .agg(F.when(complete, F.sum(value)).alias("__total"))
         .withColumnsRenamed({k: f"__{k}" for k in keys})
     )
-    if max_groups is not None and max_groups <= _MAX_BROADCAST_GROUPS:
-        totals = F.broadcast(totals)
-    else:
-        totals = materialise(totals, "totals")
+    totals = materialise(totals, "totals")
     same_group = reduce(
         lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)
     )

@@ -8,9 +8,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A range dimension of at most this many codes (two short columns each) may be broadcast.
-_MAX_BROADCAST_CODES = 1_000_000
-
 
 def recode_ranges(
     df: DataFrame,
@@ -23,20 +20,35 @@ def recode_ranges(
     Several ranges may carry one label. A code in no range gets NULL. Ranges must not
     overlap, so their order never matters.
 
-    The table is expanded to a row per code and joined on equality: a join on ``low <= code
-    <= high`` would compare every row with every range, and a long conditional expression is
-    inlined into each filter on its result. The ranges say how many codes there are, so the
-    broadcast is bounded; a larger table is left to Spark to join by its size.
+    Codes and ranges are joined on equality of a bucket, with the bounds as a further condition:
+    a join on ``low <= code <= high`` alone would compare every row with every range, and a
+    long conditional expression is inlined into each filter on its result. Buckets are as
+    wide as it takes for the ranges to cover a few buckets each, so the table that Spark joins
+    grows with the number of ranges, not with their width.
     """
     _require_disjoint(ranges)
-    lows, highs, labels = zip(*ranges)
-    table = pa.table({"lo": list(lows), "hi": list(highs), out: list(labels)})
-    type_ = df.schema[column].dataType
-    codes = F.explode(F.sequence(F.col("lo").cast(type_), F.col("hi").cast(type_)))
-    dimension = df.sparkSession.createDataFrame(table).select(codes.alias("__code"), out)
-    if sum(high - low + 1 for low, high, _ in ranges) <= _MAX_BROADCAST_CODES:
-        dimension = F.broadcast(dimension)
-    return df.join(dimension, F.col(column) == F.col("__code"), "left").drop("__code")
+    shift = _bucket_bits(ranges)
+    rows = [
+        (bucket, low, high, label)
+        for low, high, label in ranges
+        for bucket in range(low >> shift, (high >> shift) + 1)
+    ]
+    names = ["__bucket", "__low", "__high", out]
+    # An Arrow table becomes a local relation, whose size Spark knows when it plans the join.
+    whole = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+    entries = pa.table(dict(zip(names, [*whole, pa.array([r[3] for r in rows], pa.string())])))
+    dimension = df.sparkSession.createDataFrame(entries)
+    code = F.col(f"`{column}`").cast("long")
+    inside = (F.shiftright(code, shift) == F.col("__bucket")) & code.between(F.col("__low"), F.col("__high"))
+    return df.join(dimension, inside, "left").drop("__bucket", "__low", "__high")
+
+
+def _bucket_bits(ranges: Sequence[tuple[int, int, str]]) -> int:
+    """The least number of low bits to leave out for ranges to cover four buckets each on average."""
+    for shift in range(64):
+        if sum((high >> shift) - (low >> shift) + 1 for low, high, _ in ranges) <= 4 * len(ranges):
+            return shift
+    return 63
 
 
 def _require_disjoint(ranges: Sequence[tuple[int, int, str]]) -> None:

@@ -7,18 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Spark's own default limit on columns made by a pivot (spark.sql.pivotMaxValues).
-_MAX_COLUMNS = 10_000
 
-
-def ordered_values(
-    df: DataFrame, column: str, order_by: Sequence[str], max_values: int = _MAX_COLUMNS
-) -> list[str]:
+def ordered_values(df: DataFrame, column: str, order_by: Sequence[str]) -> list[str]:
     """Distinct values of a column, in order of their first appearance by ``order_by``.
 
     For the columns of a wide table, whose names the planner must know. Only names come to
-    the driver; more of them than a table can have columns is an error, never a cut.
+    the driver; more of them than ``spark.sql.pivotMaxValues`` is an error, never a cut.
     """
+    max_values = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     first = F.min(F.struct(*order_by)).alias("__first")
     rows = (
         df.filter(F.col(column).isNotNull())
@@ -38,10 +34,14 @@ def pivot_ordered(
 ) -> DataFrame:
     """Long to wide with a column per entry of ``names``, in that order; empty cells are NULL.
 
-    Two rows for one cell fail the query: picking one would hide the duplicate. The explicit
+    Two rows for one cell fail the query: picking one would hide the duplicate. So does a row
+    whose name is missing or not in ``names``: filter before to leave rows out. The explicit
     list spares Spark the job that looks for values, and each cell is reduced to one row
     before the rows of an id meet, so a wide id is never large.
     """
+    name = F.col(f"`{names_from}`")
+    stray = F.raise_error(F.concat(F.lit(f"{names_from} not among the columns: "), F.coalesce(name.cast("string"), F.lit("NULL"))))
+    df = df.withColumn(names_from, F.when(name.isin(list(names)), name).otherwise(stray))
     cell = F.when(F.count(F.lit(1)) <= 1, F.max(values_from)).otherwise(
         F.raise_error(F.lit(f"more than one row for a cell of {values_from} by {names_from}"))
     )

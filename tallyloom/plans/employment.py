@@ -58,7 +58,7 @@ def sector_shares(
 
     The total is over the listed supersectors that the lookup names: the series also hold
     totals of several sectors, which would count jobs twice. ``averages`` is read twice, so
-    pass a written table. The number of areas is bounded by the list.
+    pass a written table.
     """
     listed = keep_listed(keep_listed(averages, "supersector_code", sectors), "area_code", areas)
     named = join_lookup(
@@ -69,7 +69,6 @@ def sector_shares(
         ["area_code"],
         "value",
         "sector_prop",
-        max_groups=len(areas),
     ).select("msa_short_name", "supersector_name", "sector_prop")
 
 

@@ -3,19 +3,21 @@
     python -m tallyloom.plans.publish --out FOLDER --panel FILE ...
 
 runs it on staged files: CSV for the panel and the estimates, tab-separated text for the
-series and the supersector lookup, and Parquet or CSV for the person microdata.
+series and the supersector lookup, and CSV, Parquet or fixed-width text for the person microdata.
+Estimates come joined (numerator and denominator in one row) or as pulled, a row per variable.
 """
 
 from __future__ import annotations
 
 import argparse
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import join_lookup, ordered_values
 from ..session import materialise
-from ..sources import read_trimmed_tsv, read_typed_csv, schemas, write_report
+from ..sources import read_fixed_width, read_trimmed_tsv, read_typed_csv, schemas, write_report
 from . import employment, estimates, occupancy, telework
 from . import fixed_values as fixed
 
@@ -33,15 +35,18 @@ def publish(
 ) -> None:
     """Write the report tables below ``folder``, a directory of CSV files each.
 
-    The microdata and the series are read once: the cube and the annual averages go to the
-    shared folder, and the tables built on them read those.
+    Every input is read once: the cube, the annual averages, the panel and the stacked estimates
+    go to the shared folder, and the tables built on them read those.
     """
     geographies = [*fixed.METRO_CODES, fixed.NATION_ID]
 
     def write(table: DataFrame, name: str) -> None:
         write_report(table, f"{folder}/{name}")
 
-    stacked = estimates.stacked_estimates(metro_estimates, nation_estimates)
+    stacked = materialise(
+        estimates.stacked_estimates(metro_estimates, nation_estimates), "estimates"
+    )
+    panel = materialise(panel, "panel")
     write(stacked, "estimates")
     shares = materialise(estimates.shares_with_bounds(stacked, geographies), "shares")
     names = estimates.area_names(shares)
@@ -107,11 +112,24 @@ def _column_names(schema: str) -> list[str]:
     return [field.split()[0] for field in schema.split(", ")]
 
 
-def read_persons(spark: SparkSession, path: str) -> DataFrame:
-    """Person microdata from CSV files (by their ending) or Parquet."""
-    if path.endswith((".csv", ".csv.gz")):
+def read_persons(
+    spark: SparkSession, path: str, form: str = "parquet", layout: Sequence[tuple] | None = None
+) -> DataFrame:
+    """Person microdata in a named form: ``csv``, ``parquet``, or ``fixed`` with its layout."""
+    if form == "csv":
         return read_typed_csv(spark, path, schemas.PERSONS)
-    return spark.read.schema(schemas.PERSONS).parquet(path)
+    if form == "parquet":
+        return spark.read.schema(schemas.PERSONS).parquet(path)
+    if form != "fixed" or layout is None:
+        raise ValueError("persons are read as csv, parquet, or fixed with a layout")
+    return read_fixed_width(spark, path, layout).select(*_column_names(schemas.PERSONS))
+
+
+def read_estimates(spark: SparkSession, path: str, pulled: bool = False) -> DataFrame:
+    """Survey estimates, or a pull of both variables, whose denominators are then attached."""
+    if not pulled:
+        return read_typed_csv(spark, path, schemas.ESTIMATES)
+    return estimates.working_from_home(read_typed_csv(spark, path, schemas.PULL))
 
 
 def main(arguments: Sequence[str] | None = None) -> None:
@@ -128,15 +146,20 @@ def main(arguments: Sequence[str] | None = None) -> None:
     ):
         parser.add_argument(option, required=True)
     parser.add_argument("--year", default="2023")
+    parser.add_argument("--persons-form", choices=["csv", "parquet", "fixed"], default="parquet")
+    parser.add_argument(
+        "--persons-layout", type=json.loads, help="JSON list of [name, first, last, type, decimals]"
+    )
+    parser.add_argument("--pulled", action="store_true", help="estimates have a row per variable")
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("tallyloom-publish").getOrCreate()
     publish(
         given.out,
         read_typed_csv(spark, given.panel, schemas.OCCUPANCY),
-        read_typed_csv(spark, given.metro_estimates, schemas.ESTIMATES),
-        read_typed_csv(spark, given.nation_estimates, schemas.ESTIMATES),
-        read_typed_csv(spark, given.county_estimates, schemas.ESTIMATES),
-        read_persons(spark, given.persons),
+        read_estimates(spark, given.metro_estimates, given.pulled),
+        read_estimates(spark, given.nation_estimates, given.pulled),
+        read_estimates(spark, given.county_estimates, given.pulled),
+        read_persons(spark, given.persons, given.persons_form, given.persons_layout),
         read_trimmed_tsv(spark, given.series, _column_names(schemas.SERIES)),
         read_trimmed_tsv(spark, given.supersectors, _column_names(schemas.SUPERSECTORS)),
         given.year,

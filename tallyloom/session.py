@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +41,18 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session may go without that setting; it gets one temporary folder per
     application. On a cluster a machine-local folder would lose data with its executor,
-    so a missing setting is an error there.
+    so a missing setting is an error there. A ``file:`` folder is taken as a mount that all
+    machines share, with a warning, since nothing here can tell.
+
+    Staged tables stay until someone clears the folder, as checkpoints do. Every path that
+    ``fresh_path`` gives ends with a random part, so a folder named for one job can be
+    removed whole when the job is done.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
+        local = spark.conf.get("spark.master", "").startswith("local")
+        if not local and (named.startswith("file:") or named.startswith("/") and _on_disk(spark)):
+            warnings.warn(f"{named} must be a mount that all machines share", stacklevel=2)
         return named.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
@@ -53,6 +62,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+def _on_disk(spark: SparkSession) -> bool:
+    """True if a path without a scheme is one of the machine's own file system."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return default.startswith("file:")
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other call returns."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

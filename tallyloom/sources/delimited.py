@@ -1,7 +1,8 @@
 """Comma- and tab-separated files.
 
-Quotes are doubled to escape them. No file may hold line breaks inside quotes, so that
-Spark can split large files between tasks.
+Quotes are doubled to escape them, and a backslash is a character like others. Without
+``multi_line`` no file may hold line breaks inside quotes, so that Spark can split large files
+between tasks; the writer refuses to make such files.
 """
 
 from __future__ import annotations
@@ -26,11 +27,27 @@ def _one_missing_value(df: DataFrame) -> DataFrame:
     )
 
 
+def _without_padding(df: DataFrame, but: str | None = None) -> DataFrame:
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != but]
+    padding = F.lit(" \t")
+    trimmed = {n: F.trim(F.col(f"`{n}`"), padding) for n in texts}
+    # Padding around a mark of a missing value, or around nothing, is none of the value.
+    return df.withColumns({n: F.when(~c.isin(MISSING, ""), c) for n, c in trimmed.items()})
+
+
 def read_typed_csv(
-    spark: SparkSession, path: str, schema: str, corrupt_column: str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: str,
+    corrupt_column: str | None = None,
+    trim: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header and a declared schema; empty fields and ``NA`` are missing.
 
+    Blanks around a field are removed, also inside quotes, unless ``trim`` is off. With
+    ``multi_line`` quoted fields may hold line breaks; each file is then read by one task.
+
     The header must name the columns of the schema in order; otherwise reading fails, since
     values would land in the wrong columns.
 
@@ -45,11 +62,15 @@ def read_typed_csv(
         .option("enforceSchema", False)
         .option("quote", '"')
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", trim)
+        .option("ignoreTrailingWhiteSpace", trim)
+        .option("multiLine", multi_line)
     )
     if corrupt_column:
         schema = f"{schema}, `{corrupt_column}` STRING"
         reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
-    return _one_missing_value(reader.schema(schema).csv(path))
+    table = reader.schema(schema).csv(path)
+    return _one_missing_value(_without_padding(table, corrupt_column) if trim else table)
 
 
 def read_trimmed_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -62,26 +83,41 @@ def read_trimmed_tsv(spark: SparkSession, path: str, columns: list[str]) -> Data
         .option("encoding", "UTF-8")
         .option("enforceSchema", False)
         .option("nullValue", MISSING)
+        .option("quote", '"')
+        .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .csv(path)
     )
-    return _one_missing_value(table)
+    return _one_missing_value(_without_padding(table))
 
 
 def write_report(df: DataFrame, path: str) -> None:
     """Write a table as CSV with a header and ``NA`` for missing values, replacing ``path``.
 
-    Whole numbers are written without ``.0``. Sorted input stays sorted from file to file;
-    the table is not squeezed into one file, since that would put it through one task.
+    Whole numbers are written without ``.0``, text as it stands; text with a line break fails
+    the query, since no reader that splits files could read it. Sorted input stays sorted from
+    file to file; the table is not squeezed into one file, since that would put it through
+    one task.
     """
-    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    text = df.withColumns({name: plain_number(F.col(f"`{name}`")) for name in doubles})
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    broken = F.raise_error(F.lit("a text with a line break cannot be written as one line"))
+
+    def written(name: str, kind: T.DataType):
+        value = F.col(f"`{name}`")
+        if isinstance(kind, T.DoubleType):
+            return plain_number(value)
+        return F.when(value.rlike("[\r\n]"), broken).otherwise(value)
+
+    texts = (T.DoubleType, T.StringType)
+    text = df.withColumns({n: written(n, k) for n, k in kinds.items() if isinstance(k, texts)})
     (
         text.write.mode("overwrite")
         .option("header", True)
         .option("nullValue", MISSING)
         .option("quote", '"')
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )

@@ -10,6 +10,9 @@ ESTIMATES = (
     "estimate DOUBLE, moe DOUBLE, summary_est DOUBLE, summary_moe DOUBLE"
 )
 
+# The same as pulled: a row for the numerator and one for the denominator.
+PULL = "GEOID STRING, NAME STRING, variable STRING, estimate DOUBLE, moe DOUBLE"
+
 # One row per person and month.
 PERSONS = "YEAR INT, MONTH INT, METFIPS INT, IND INT, TELWRKPAY INT, WTFINL DOUBLE"
 

@@ -133,7 +133,8 @@ CITY_PANEL = f"""{AREAS}, panel AS (
   SELECT data_week, msa_short_name AS city, occupancy FROM
     (SELECT {WEEK} AS data_week, CAST({AREA_CODE} AS VARCHAR) AS GEOID,
             avg(l_quantity) AS occupancy FROM lineitem GROUP BY 1, 2)
-    JOIN area_names USING (GEOID)),
+    JOIN (SELECT GEOID, regexp_replace(regexp_replace(NAME, '-.*$', ''), ',.*$', '') AS msa_short_name
+          FROM areas) USING (GEOID)),
 weeks AS (SELECT DISTINCT {WEEK} AS data_week FROM lineitem)"""
 
 
@@ -195,7 +196,22 @@ def _weekly_wide() -> str:
     return f"""WITH {CITY_PANEL}, {_dense_mean('city', 4, 'weeks', 'mean4')}
   SELECT data_week, {cells},
          round(CASE WHEN count(mean4) = {n} THEN sum(mean4) / {n} END, 8) AS "{fixed.MEAN_OF_METROS}"
-  FROM rolled WHERE data_week >= DATE '{views.FIRST_WEEK}' GROUP BY data_week"""
+  FROM rolled WHERE data_week >= DATE '{views.FIRST_WEEK}' AND city IN ({_texts(_LISTED_SHORT)})
+  GROUP BY data_week"""
+
+
+def _columns_by_latest() -> str:
+    """The same with the order of its columns, from the values of the newest week."""
+    mean = fixed.MEAN_OF_METROS
+    names = [*_LISTED_SHORT, mean]
+    newest = " UNION ALL ".join(
+        f"""SELECT '{n}' AS name, {i} AS place, "{n}" AS value FROM newest""" for i, n in enumerate(names)
+    )
+    return f"""WITH wide AS ({_weekly_wide()}),
+newest AS (SELECT * FROM wide ORDER BY data_week DESC LIMIT 1),
+columns AS ({newest})
+SELECT wide.*, (SELECT string_agg(name, '|' ORDER BY value DESC NULLS LAST, place) FROM columns) AS column_order
+FROM wide"""
 
 
 _MOE_INNER = """SELECT *, estimate / nullif(summary_est, 0) AS p FROM ({})"""
@@ -233,7 +249,7 @@ def _sectors_wide() -> str:
   GROUP BY supersector_name"""
 
 
-_ORDER_LABEL = """'a "' || o_orderpriority || '", b'"""
+_ORDER_LABEL = """'  a "' || o_orderpriority || '",  b\\ '"""
 
 ORACLE: dict[str, str] = {
     # sources and sinks
@@ -241,7 +257,8 @@ ORACLE: dict[str, str] = {
         SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, {_ORDER_LABEL} AS label,
                CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price FROM orders""",
     "tsv_trimmed_read": """
-        SELECT CAST(c_custkey AS VARCHAR) AS custkey, c_name AS name, c_mktsegment AS segment,
+        SELECT CAST(c_custkey AS VARCHAR) AS custkey, c_name AS name,
+               '"' || c_mktsegment || '"  \\"' AS segment,
                CASE WHEN c_nationkey <> 7 THEN lpad(CAST(c_nationkey AS VARCHAR), 3, '0') END AS nation
         FROM customer""",
     "fixed_width_read": f"WITH {PERSONS} SELECT * FROM persons",
@@ -364,7 +381,10 @@ ORACLE: dict[str, str] = {
             for k in ["NO", "NF", "AO", "AF", "RO", "RF"]
         ),
     ),
-    "pivot_ordered": "SELECT o_custkey, {cells} FROM orders GROUP BY 1".format(
+    "pivot_ordered": """SELECT o_custkey, {cells},
+        (SELECT string_agg(substring(p, 3), '|' ORDER BY p)
+         FROM (SELECT DISTINCT o_orderpriority AS p FROM orders)) AS column_order
+        FROM orders GROUP BY 1""".format(
         cells=", ".join(
             f"nullif(count(CASE WHEN o_orderpriority LIKE '%-{k}' THEN 1 END), 0) AS \"{k}\""
             for k in ["URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW"]
@@ -396,7 +416,7 @@ ORACLE: dict[str, str] = {
                      l_quantity * l_quantity * (l_tax + 0.005) * (l_tax + 0.005) AS carried FROM lineitem)""",
     # whole statistics
     "occupancy_weekly_wide": _weekly_wide(),
-    "occupancy_columns_by_latest": _weekly_wide(),
+    "occupancy_columns_by_latest": _columns_by_latest(),
     "estimates_stacked": f"""WITH {ESTIMATES}
         SELECT GEOID, NAME, variable, round(estimate, 8) AS estimate, round(moe, 8) AS moe,
                round(summary_est, 8) AS summary_est, round(summary_moe, 8) AS summary_moe

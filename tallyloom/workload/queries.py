@@ -48,13 +48,13 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.col("o_orderdate").cast("date").alias("o_orderdate"),
-        # Text that needs quoting, and text that must not be read as missing by accident.
-        F.concat(F.lit('a "'), "o_orderpriority", F.lit('", b')).alias("label"),
+        # Text that needs quoting, with blanks outside and inside, and a backslash.
+        F.concat(F.lit('  a "'), "o_orderpriority", F.lit('",  b\\ ')).alias("label"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("price"),
     )
     src.write_report(orders, path)
     return src.read_typed_csv(
-        spark, path, "o_orderkey BIGINT, o_orderdate DATE, label STRING, price DOUBLE"
+        spark, path, "o_orderkey BIGINT, o_orderdate DATE, label STRING, price DOUBLE", trim=False
     )
 
 
@@ -64,7 +64,7 @@ def tsv_trimmed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = table(spark, sf_dir, "customer").select(
         F.lpad(F.col("c_custkey").cast("string"), 12, " ").alias("custkey"),
         F.rpad("c_name", 30, " ").alias("name"),
-        F.concat(F.lit("  "), "c_mktsegment", F.lit(" ")).alias("segment"),
+        F.concat(F.lit('  "'), "c_mktsegment", F.lit('"  \\" ')).alias("segment"),
         F.when(F.col("c_nationkey") != 7, F.lpad(F.col("c_nationkey").cast("string"), 3, "0"))
         .alias("nation"),
     )
@@ -72,6 +72,8 @@ def tsv_trimmed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         padded.write.option("sep", "\t")
         .option("header", True)
         .option("nullValue", "")
+        .option("quote", '"')
+        .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
@@ -258,7 +260,7 @@ def filter_not_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def filter_conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return employment.annual_averages(
-        views.staged_series(spark, sf_dir), views.SERIES_YEAR, LISTED_AREAS
+        views.series(spark, sf_dir), views.SERIES_YEAR, LISTED_AREAS
     )
 
 
@@ -410,15 +412,10 @@ def order_series_by_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def row_mean_across_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = views.city_panel(spark, sf_dir)
+    """Over all areas. The panel, a row for each week and area, is read three times."""
+    panel = materialise(views.city_panel(spark, sf_dir), "city-panel")
     rolled = op.rolling_mean(
-        panel,
-        ["city"],
-        "data_week",
-        "occupancy",
-        fixed.ROLLING_WEEKS,
-        "mean4",
-        axis=views.weeks(spark, sf_dir),
+        panel, ["city"], "data_week", "occupancy", fixed.ROLLING_WEEKS, "mean4"
     )
     return round_doubles(
         op.row_mean_across_series(rolled, "city", "data_week", "mean4", "mean_of_cities", panel)
@@ -449,9 +446,14 @@ def week_of_shipping() -> Column:
     return fn.week_start(F.col("l_shipdate"))
 
 
+def with_column_order(wide: DataFrame) -> DataFrame:
+    """Adds the names of all columns but the first, in their order, so that it can be checked."""
+    return wide.withColumn("column_order", F.lit("|".join(wide.columns[1:])))
+
+
 @registered
 def pivot_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns in order of the code behind each name, not of the name."""
+    """Columns in order of the code behind each name, not of the name; ``column_order`` has it."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_custkey"),
         F.split_part("o_orderpriority", F.lit("-"), F.lit(1)).cast("int").alias("code"),
@@ -459,7 +461,7 @@ def pivot_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     names = op.ordered_values(orders, "name", ["code"])
     counts = orders.groupBy("o_custkey", "name").agg(F.count(F.lit(1)).alias("n"))
-    return op.pivot_ordered(counts, ["o_custkey"], "name", "n", names)
+    return with_column_order(op.pivot_ordered(counts, ["o_custkey"], "name", "n", names))
 
 
 @registered
@@ -534,9 +536,10 @@ def moe_of_proportion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = views.area_sums(spark, sf_dir)
     return estimates.stacked_estimates(
-        estimates.working_from_home(views.metro_pull(spark, sf_dir)),
-        estimates.working_from_home(views.total_pull(spark, sf_dir)),
+        estimates.working_from_home(views.metro_pull(spark, sf_dir, sums)),
+        estimates.working_from_home(views.total_pull(sums)),
     )
 
 
@@ -557,7 +560,7 @@ def occupancy_weekly_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     cities = op.ordered_values(names, "msa_short_name", ["GEOID"])
     return round_doubles(
         occupancy.weekly_means_wide(
-            views.city_panel(spark, sf_dir),
+            op.keep_listed(views.city_panel(spark, sf_dir), "city", cities),
             cities,
             views.FIRST_WEEK,
             axis=views.weeks(spark, sf_dir),
@@ -567,9 +570,14 @@ def occupancy_weekly_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def occupancy_columns_by_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel has a row per week; it is written once, for the order and for the result."""
-    return occupancy.columns_by_latest(
-        materialise(occupancy_weekly_wide(spark, sf_dir), "weekly-wide")
+    """The panel has a row per week; it is written once, for the order and for the result.
+
+    ``column_order`` names the columns in their order.
+    """
+    return with_column_order(
+        occupancy.columns_by_latest(
+            materialise(occupancy_weekly_wide(spark, sf_dir), "weekly-wide")
+        )
     )
 
 
@@ -638,8 +646,9 @@ def employment_series_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def employment_sector_share_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    averages = employment.annual_averages(
-        views.staged_series(spark, sf_dir), views.SERIES_YEAR, LISTED_AREAS
+    averages = materialise(
+        employment.annual_averages(views.series(spark, sf_dir), views.SERIES_YEAR, LISTED_AREAS),
+        "annual-averages",
     )
     names = views.area_names(spark, sf_dir)
     shares = employment.sector_shares(
@@ -657,7 +666,7 @@ def occupancy_and_telework(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return round_doubles(
         occupancy.attendance_and_telework(
-            views.city_panel(spark, sf_dir), rates, *views.COMPARED_WEEKS
+            views.city_panel(spark, sf_dir, views.COMPARED_WEEKS), rates, *views.COMPARED_WEEKS
         ).orderBy("city")
     )
 

@@ -15,11 +15,13 @@ The tables hold no survey data, so each input is derived from them, with every r
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import short_place_name, week_start
-from ..operators import union_by_name
+from ..operators import keep_dates, union_by_name
 from ..session import materialise
 
 # Fixed values of the views, used by the SQL twins too.
@@ -143,13 +145,14 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_by_name(named, total)
 
 
+def all_area_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area dimension with short names."""
+    return areas(spark, sf_dir).withColumn("msa_short_name", short_place_name(F.col("NAME")))
+
+
 def area_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The area dimension of the listed areas and the total, with short names."""
-    return (
-        areas(spark, sf_dir)
-        .filter(F.col("GEOID").isin([*LISTED_AREAS, TOTAL_ID]))
-        .withColumn("msa_short_name", short_place_name(F.col("NAME")))
-    )
+    return all_area_names(spark, sf_dir).filter(F.col("GEOID").isin([*LISTED_AREAS, TOTAL_ID]))
 
 
 def _variables(sums: DataFrame, keys: list[str], number: Column, missing: int) -> DataFrame:
@@ -182,17 +185,22 @@ def _area_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(number).agg(*_weights())
 
 
-def metro_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+def area_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums by area as a written table: one row per area, from one scan of the line items."""
+    return materialise(_area_sums(spark, sf_dir), "area-sums")
+
+
+def metro_pull(spark: SparkSession, sf_dir: str, sums: DataFrame) -> DataFrame:
     """Variables by area."""
     code = (AREA_BASE + AREA_STEP * F.col("area_number")).cast("string")
-    named = _area_sums(spark, sf_dir).withColumn("GEOID", code).join(areas(spark, sf_dir), "GEOID")
+    named = sums.withColumn("GEOID", code).join(areas(spark, sf_dir), "GEOID")
     return _variables(named, ["GEOID", "NAME"], F.col("area_number"), AREA_WITHOUT_ESTIMATE)
 
 
-def total_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variables over all areas: sums of the areas' sums, whose shuffle Spark can reuse."""
+def total_pull(sums: DataFrame) -> DataFrame:
+    """Variables over all areas: sums of the areas' sums."""
     sums = (
-        _area_sums(spark, sf_dir)
+        sums
         .agg(F.sum("whole").alias("whole"), F.sum("part").alias("part"))
         .withColumns({"GEOID": F.lit(TOTAL_ID), "NAME": F.lit(TOTAL_NAME)})
     )
@@ -232,21 +240,28 @@ def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def city_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean quantity by week and listed area, under the area's short name.
+def city_panel(
+    spark: SparkSession, sf_dir: str, weeks: tuple[str, str] | None = None
+) -> DataFrame:
+    """Mean quantity by week and area, under the area's short name.
 
-    Rows are averaged by code; names join the averages.
+    Rows are averaged by code; names join the averages. With ``weeks``, two dates, only weeks
+    that start between them are averaged, and the range reaches the scan.
     """
+    lines = table(spark, sf_dir, "lineitem")
+    if weeks:
+        # A week that starts on the last date holds the six days after it too.
+        last = dt.date.fromisoformat(weeks[1]) + dt.timedelta(days=6)
+        lines = keep_dates(lines, "l_shipdate", weeks[0], last.isoformat())
     means = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(
+        lines.groupBy(
             week_start(F.col("l_shipdate")).alias("data_week"),
             area_code(F.col("l_suppkey")).alias("code"),
         )
         .agg(F.avg("l_quantity").alias("occupancy"))
         .withColumn("GEOID", F.col("code").cast("string"))
     )
-    names = area_names(spark, sf_dir).withColumnRenamed("msa_short_name", "city")
+    names = all_area_names(spark, sf_dir).withColumnRenamed("msa_short_name", "city")
     return means.join(names, "GEOID").select("data_week", "city", "occupancy")
 
 
@@ -292,12 +307,6 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def staged_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The series as a written table, as their publisher's file is: conditions on its
-    columns reach the scan, and reading it twice costs no second pass over the line items."""
-    return materialise(series(spark, sf_dir), "series")
-
-
 def supersectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supersector lookup: a literal relation whose size Spark knows."""
     rows = F.array(

@@ -9,9 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import operators as op
-from tallyloom.operators import filters as filters_module
 from tallyloom.operators import panel as panel_module
-from tallyloom.operators import recode as recode_module
 from tallyloom.operators import shares as shares_module
 from tallyloom.plans import occupancy, telework
 from tallyloom.plans import fixed_values as fixed
@@ -36,9 +34,7 @@ EDGES += [(3991, None), (4070, "40"), (5790, "40"), (5791, None), (6070, "40"),
 EDGES += [(8560, None), (8561, "70"), (9890, "90"), (9891, None), (-1, None), (None, None)]
 
 
-@pytest.mark.parametrize("broadcast_codes", [10**6, 0])
-def test_recode_ranges_both_ways(spark, monkeypatch, broadcast_codes):
-    monkeypatch.setattr(recode_module, "_MAX_BROADCAST_CODES", broadcast_codes)
+def test_recode_ranges(spark):
     codes = spark.createDataFrame([(c,) for c, _ in EDGES], "IND int")
     got = dict(rows(op.recode_ranges(codes, "IND", fixed.SUPERSECTOR_RANGES, "code")))
     assert got == dict(EDGES)
@@ -61,9 +57,7 @@ def test_recode_rejects_bad_ranges(spark, ranges):
         op.recode_ranges(spark.range(1), "id", ranges, "label")
 
 
-@pytest.mark.parametrize("limit", [1000, 1])
-def test_keep_listed(spark, monkeypatch, limit):
-    monkeypatch.setattr(filters_module, "_MAX_IN_LIST", limit)
+def test_keep_listed(spark):
     codes = spark.createDataFrame([(37980,), (1,), (None,), (37980,)], "c int")
     assert rows(op.keep_listed(codes, "c", ["37980", "12420"])) == [(37980,), (37980,)]
 
@@ -355,12 +349,11 @@ def test_latest_values(spark):
     assert rows(latest) == [("c", 6.0), ("a", 5.0), ("b", None)]
 
 
-@pytest.mark.parametrize("max_groups", [None, 10, 10**9])
-def test_share_of_total(spark, max_groups):
+def test_share_of_total(spark):
     data = [("a", 1.0), ("a", 3.0), (None, 2.0), ("z", 0.0), ("m", 1.0), ("m", None)]
     data += [("hot", 1.0)] * 500
     table = spark.createDataFrame(data, "k string, v double")
-    shares = op.share_of_total(table, ["k"], "v", "pct", max_groups)
+    shares = op.share_of_total(table, ["k"], "v", "pct")
     assert shares.columns == ["k", "v", "pct"]
     got = sorted(rows(shares), key=str)
     want = [("a", 1.0, 25.0), ("a", 3.0, 75.0), (None, 2.0, 100.0), ("z", 0.0, None)]
@@ -435,8 +428,63 @@ def test_pivot_rejects_two_rows_for_a_cell(spark):
 def test_ordered_values(spark):
     table = spark.createDataFrame([("x", 3), ("y", 1), ("x", 2), (None, 0), ("z", 2)], "k string, o int")
     assert op.ordered_values(table, "k", ["o"]) == ["y", "x", "z"]
-    with pytest.raises(ValueError, match="more than 2"):
-        op.ordered_values(table, "k", ["o"], max_values=2)
+    spark.conf.set("spark.sql.pivotMaxValues", "2")
+    try:
+        with pytest.raises(ValueError, match="more than 2"):
+            op.ordered_values(table, "k", ["o"])
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+
+
+@pytest.mark.parametrize("stray", ["z", None])
+def test_pivot_rejects_names_outside_the_list(spark, stray):
+    table = spark.createDataFrame([(1, "x", 1.0), (2, stray, 2.0)], "id int, k string, v double")
+    with pytest.raises(Exception, match="not among the columns"):
+        op.pivot_ordered(table, ["id"], "k", "v", ["x"]).collect()
+
+
+def test_rolling_mean_rejects_dates_off_the_axis(spark):
+    table = spark.createDataFrame([("a", day(i), 1.0) for i in range(3)], "s string, d date, v double")
+    short = table.filter(F.col("d") != F.lit(day(1)))
+    with pytest.raises(Exception, match="not on the axis"):
+        op.rolling_mean(table, ["s"], "d", "v", 2, "m", axis=short).collect()
+    missing = spark.createDataFrame([("a", day(0), 1.0), ("a", None, 1.0)], "s string, d date, v double")
+    with pytest.raises(Exception, match="not on the axis"):
+        op.rolling_mean(missing, ["s"], "d", "v", 2, "m").collect()
+
+
+def test_latest_values_rejects_two_rows_for_a_date(spark):
+    table = spark.createDataFrame([("a", day(0), 1.0), ("a", day(0), 9.0)], "s string, d date, v double")
+    with pytest.raises(Exception, match="more than one row"):
+        op.latest_values(table, "s", "d", "v", "v").collect()
+
+
+@pytest.mark.parametrize("n", [3, 999, 1_001])
+def test_lists_of_any_length_and_mixed_types(spark, n):
+    table = spark.range(2_000).select(F.col("id").cast("int"))
+    wanted = [i if i % 2 else str(i) for i in range(n)] + ["1", 1]
+    kept = op.keep_listed(table, "id", wanted)
+    assert sorted(r[0] for r in kept.collect()) == list(range(n))
+
+
+def test_wide_ranges_cost_no_row_per_code(spark):
+    ranges = [(0, 2**31 - 2, "wide"), (-5, -1, "low"), (-2**31, -2**30, "far")]
+    table = spark.createDataFrame([(0,), (2**31 - 2,), (2**31 - 1,), (-3,), (-6,), (-2**30,), (None,)], "c int")
+    coded = op.recode_ranges(table, "c", ranges, "label")
+    got = {r["c"]: r["label"] for r in coded.collect()}
+    assert got == {0: "wide", 2**31 - 2: "wide", 2**31 - 1: None, -3: "low", -6: None, -2**30: "far", None: None}
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_many_narrow_ranges(spark):
+    ranges = [(i * 10, i * 10 + i % 9, f"r{i}") for i in range(3_000)]
+    coded = op.recode_ranges(spark.range(30_010), "id", ranges, "label")
+    got = {r["id"]: r["label"] for r in coded.collect()}
+    assert len(got) == 30_010
+    for code, label in got.items():
+        i = code // 10
+        assert label == (f"r{i}" if i < 3_000 and code % 10 <= i % 9 else None)
 
 
 def test_union_by_name(spark):

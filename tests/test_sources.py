@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tallyloom import session
 from tallyloom.plans.publish import main
 from tallyloom.sources import (
@@ -126,7 +129,13 @@ def test_shared_folder_without_a_setting():
         session.shared_folder(Session(master="yarn"))
 
 
-def test_publish_writes_every_table(spark, tmp_path):
+LAYOUT = [["YEAR", 1, 4, "int"], ["MONTH", 5, 6, "int"], ["METFIPS", 7, 11, "int"], ["IND", 12, 15, "int"],
+          ["TELWRKPAY", 16, 16, "int"], ["WTFINL", 17, 22, "double", 2]]
+
+
+@pytest.mark.parametrize("form", ["csv", "parquet", "fixed"])
+def test_publish_writes_every_table(spark, tmp_path, form):
+    """From every form of the microdata; with fixed-width text the estimates come as pulled."""
     weeks = [dt.date(2022, 12, 7) + dt.timedelta(days=7 * i) for i in range(6)]
     panel = [(w, c, 10.0 * i) for i, w in enumerate(weeks) for c in ("Philadelphia", "Chicago")]
     places = {"37980": "Philadelphia-Camden, PA Metro Area", "16980": "Chicago-Elgin, IL Metro Area"}
@@ -154,11 +163,27 @@ def test_publish_writes_every_table(spark, tmp_path):
         "series": (series, schemas.SERIES),
         "supersectors": ([("30", "Manufacturing"), ("40", "Trade")], schemas.SUPERSECTORS),
     }
-    arguments = ["--out", str(tmp_path / "out")]
+    arguments = ["--out", str(tmp_path / "out"), "--persons-form", form]
+    if form == "fixed":
+        arguments += ["--pulled", "--persons-layout", json.dumps(LAYOUT)]
+        for name in ("metro-estimates", "nation-estimates", "county-estimates"):
+            pulled = [
+                row
+                for g, n, _, estimate, moe, whole, whole_moe in inputs[name][0]
+                for row in ((g, n, "B08006_001", whole, whole_moe), (g, n, "B08006_017", estimate, moe))
+            ]
+            inputs[name] = (pulled, schemas.PULL)
     for name, (data, schema) in inputs.items():
         table = spark.createDataFrame(data, schema)
-        path = f"{tmp_path}/{name}" + (".csv" if name == "persons" else "")
-        if name in ("series", "supersectors"):
+        path = f"{tmp_path}/{name}"
+        if name == "persons" and form == "parquet":
+            table.write.parquet(path)
+        elif name == "persons" and form == "fixed":
+            widths = {"YEAR": 4, "MONTH": 2, "METFIPS": 5, "IND": 4, "TELWRKPAY": 1}
+            fields = [F.lpad(F.col(c).cast("string"), w, " ") for c, w in widths.items()]
+            weight = F.lpad((F.col("WTFINL") * 100).cast("int").cast("string"), 6, "0")
+            table.select(F.concat(*fields, weight)).write.text(path)
+        elif name in ("series", "supersectors"):
             table.write.csv(path, sep="\t", header=True, ignoreLeadingWhiteSpace=False)
         else:
             write_report(table, path)
@@ -198,3 +223,37 @@ def test_publish_writes_every_table(spark, tmp_path):
     assert lines("occupancy_by_week")[1] == "2023-01-11,35,35,35"
     assert lines("occupancy_by_week")[-1] == "2022-12-07,NA,NA,NA"
     assert lines("attendance_and_telework")[1].startswith("Chicago,25,16980,50,")
+
+
+TEXTS = [' pad ', 'say "hi"', '"', '\\', 'end\\"', 'a, b', '\t tab', 'x  y', 'é 😀', '" quoted "']
+
+
+def test_written_text_is_read_as_it_was(spark, tmp_path):
+    table = spark.createDataFrame(list(enumerate(TEXTS)), "i int, t string")
+    write_report(table, f"{tmp_path}/r")
+    back = read_typed_csv(spark, f"{tmp_path}/r", "i INT, t STRING", trim=False)
+    assert sorted((r["i"], r["t"]) for r in back.collect()) == list(enumerate(TEXTS))
+    trimmed = read_typed_csv(spark, f"{tmp_path}/r", "i INT, t STRING")
+    assert sorted((r["i"], r["t"]) for r in trimmed.collect()) == [(i, t.strip(" \t")) for i, t in enumerate(TEXTS)]
+
+
+@pytest.mark.parametrize("broken", ["a\nb", "a\rb"])
+def test_line_breaks_are_not_written(spark, tmp_path, broken):
+    table = spark.createDataFrame([(1, broken)], "i int, t string")
+    with pytest.raises(Exception, match="line break"):
+        write_report(table, f"{tmp_path}/r")
+
+
+def test_csv_padding_and_line_breaks_of_others(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('i,city,n\n 1 , Chicago ,  2.5\n2," New York ", NA \n3,"",\n')
+    got = [tuple(r) for r in read_typed_csv(spark, str(tmp_path / "p.csv"), "i INT, city STRING, n DOUBLE").collect()]
+    assert got == [(1, "Chicago", 2.5), (2, "New York", None), (3, None, None)]
+    (tmp_path / "m.csv").write_text('i,t\n1,"line1\nline2"\n2,b\n')
+    rows = read_typed_csv(spark, str(tmp_path / "m.csv"), "i INT, t STRING", multi_line=True).collect()
+    assert [tuple(r) for r in rows] == [(1, "line1\nline2"), (2, "b")]
+
+
+def test_tsv_quotes_and_backslashes(spark, tmp_path):
+    (tmp_path / "q.tsv").write_text('a\tb\n"say ""hi"" x"\t1\n"end\\"\t2\n  pad \t 3 \n')
+    got = [tuple(r) for r in read_trimmed_tsv(spark, str(tmp_path / "q.tsv"), ["a", "b"]).collect()]
+    assert got == [('say "hi" x', "1"), ("end\\", "2"), ("pad", "3")]
