@@ -11,6 +11,8 @@ from tallyloom import operators as op
 from tallyloom.plans import employment, estimates, occupancy, telework
 from tallyloom.plans import fixed_values as fixed
 from tallyloom.sources import schemas
+from conftest import TEST_DATA
+from tallyloom.workload import views
 from tallyloom.workload.queries import REGISTRY
 
 
@@ -109,3 +111,38 @@ def test_no_query_multiplies_rows_or_leaves_the_jvm(spark, name):
     # A window without a partition would sort the whole table in one task.
     for detail in re.findall(r"windowspecdefinition\([^)]*", plan):
         assert "__block" in detail
+
+
+SMALL = TEST_DATA / "sf0.001"
+needs_tables = pytest.mark.skipif(not SMALL.is_dir(), reason="driver tables are not here")
+
+
+@needs_tables
+@pytest.mark.parametrize(
+    "name", ["estimates_stacked", "wfh_share_with_bounds", "row_mean_across_series", "employment_sector_share_wide"]
+)
+def test_line_items_are_read_once(spark, monkeypatch, name):
+    """What is read several times is a small staged table, made from one scan."""
+    read, table = [], views.table
+
+    def counted(spark, sf_dir, name):
+        read.append(name)
+        return table(spark, sf_dir, name)
+
+    monkeypatch.setattr(views, "table", counted)
+    result = REGISTRY[name](spark, str(SMALL))
+    assert read.count("lineitem") == 1
+    assert len(scans(plan_of(result), "lineitem")) == 0
+
+
+@needs_tables
+def test_conditions_on_a_lazy_series_reach_the_aggregate(spark):
+    plan = plan_of(REGISTRY["filter_conjunction"](spark, str(SMALL)))
+    assert scans(plan, "lineitem") and "series-" not in plan
+
+
+@needs_tables
+def test_compared_weeks_reach_the_scan(spark):
+    plan = plan_of(REGISTRY["occupancy_and_telework"](spark, str(SMALL)))
+    pushed = [s for s in scans(plan, "lineitem") if "GreaterThanOrEqual(l_shipdate" in s]
+    assert len(pushed) == 1 and "LessThan(l_shipdate" in pushed[0]
