@@ -490,13 +490,16 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     first = rows.groupBy(F.col("component").alias("of")).agg(F.min(rank).alias("first"))
     judged = rows.join(first, F.col("component") == F.col("of")).select(
-        F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), (rank == F.col("first")).alias("stays")
+        F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), (rank == F.col("first")).alias("stays")
     )
-    counted = judged.groupBy("of_id", "of_mark", "stays").agg(F.count(F.lit(1)).alias("n"))
-    marks = materialise(counted.filter(~F.col("stays") | (F.col("n") > 1)), "join-marks")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_mark"))
+    counted = judged.groupBy("__id", "__mark", "stays").agg(F.count(F.lit(1)).alias("n"))
+    marks = materialise(
+        counted.filter(~F.col("stays") | (F.col("n") > 1)).withColumnRenamed("stays", "__stays").drop("n"),
+        "join-marks",
+    )
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark"))
     kept = docs.join(marks, same, "left_anti")
-    repeated = marks.filter("stays")
+    repeated = marks.filter("__stays")
     if repeated.isEmpty():
         return kept
     once = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
