@@ -32,8 +32,8 @@ TILE = 1_024
 FRAGMENT = 2_048
 # Prefix entries that a task gathers before it hands them over.
 _FLUSH = 1 << 21
-# Bits of the summary of classes that may have a partner (16 MB at most).
-_MEMBER_BITS = 27
+# Bits of the summary of classes that may have a partner (2 MB at most).
+_MEMBER_BITS = 24
 
 
 def _prefix(n: int) -> int:
