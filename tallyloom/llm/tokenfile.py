@@ -23,7 +23,7 @@ from ..session import fresh_path
 from .common import flat_bytes, pieces, text_column
 
 # Text that becomes one segment; a longer document is a segment of its own.
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 10 << 20
 _SAMPLE = 256
 _HEAD = struct.Struct("<QQBQ")
 _SEGMENT = struct.Struct("<4sBQQQqQQ")
