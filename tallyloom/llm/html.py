@@ -75,6 +75,7 @@ _DROPPED_NAMES = {
     "replies", "respond", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored",
     "subscribe", "toolbar", "topbar", "widget",
 }
+_LAYOUT = {"has", "with", "without", "no"}
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -187,9 +188,16 @@ def _declared(element: Element, in_article: bool) -> bool:
         return True
     if any("display:none" in v.replace(" ", "") for v in element.attribute("style")):
         return True
-    if element.name in ("p", *_HEADINGS):
-        return False
-    return any(w in _DROPPED_NAMES for v in element.attribute("class", "id") for w in _WORD.findall(v))
+    # The name of a page's layout ("with-sidebar") says nothing of the element itself, and the
+    # header of an article holds its headline.
+    text = element.name in ("p", *_HEADINGS)
+    for token in (t for v in element.attribute("class", "id") for t in v.split()):
+        words = [token] if text else _WORD.findall(token)
+        if any(w in _LAYOUT for w in words) or in_article and "header" in words:
+            continue
+        if any(w in _DROPPED_NAMES for w in words):
+            return True
+    return False
 
 
 def article_root(elements: list[Element]) -> tuple[list[Element], bool]:

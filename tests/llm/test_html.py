@@ -41,6 +41,9 @@ def test_declared_parts_go():
         ("<main><div>a<span>b</span>c</div></main>", "abc"),
         ("<body><nav>n</nav><div role='banner'>r</div><div>x</div></body>", "x"),
         ("<article><p class='notice-text'>kept</p></article>", "kept"),
+        ("<article><p class='advert'>buy</p><p>x</p></article>", "x"),
+        ("<body class='no-menu'><div class='with-sidebar'><p>x</p><div id='sidebar-2'>y</div></div></body>", "x"),
+        ("<article><div class='entry-header'><h1>T</h1></div><div class='post-comments'>c</div></article>", "T"),
         ("<script>unclosed <p>a</p>", ""),
     ],
 )
