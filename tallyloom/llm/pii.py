@@ -21,7 +21,7 @@ from .bilstm import Tagger
 from .common import map_pieces, pieces, text_column
 
 KINDS = ("email", "ip", "card", "phone")
-# Snippets that the tagger learns from, of the documents with the least hash of doc_id.
+# Documents whose snippets the tagger learns from: those with the least hash of doc_id and text.
 SNIPPET_DOCS = 2_000
 ROUNDS = 220
 WINDOW = 96
@@ -204,7 +204,7 @@ def _labelled(snippets: list[tuple[str, list[Span]]]) -> tuple[np.ndarray, np.nd
 def corpus_snippets(docs: DataFrame, rows: int = SNIPPET_DOCS) -> list[tuple[str, list[Span]]]:
     """Snippets around triggers, with their labelled spans, of at most ``rows`` documents.
 
-    They are the documents with the least hash of doc_id among those with a digit or an @.
+    They are the documents with the least hash of doc_id and text among those with a digit or an @.
     """
 
     def make():
@@ -221,8 +221,13 @@ def corpus_snippets(docs: DataFrame, rows: int = SNIPPET_DOCS) -> list[tuple[str
 
         return work
 
-    marked = docs.filter(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("doc_id", F.lit(3)).alias("key"))
-    chosen = marked.orderBy("key", F.xxhash64("text")).limit(rows)
+    key = F.xxhash64("doc_id", "text", F.lit(3))
+    marked = docs.filter(F.col("text").rlike("[0-9@]")).select("text", key.alias("key"))
+    # Keys are ranked without their texts; rows with equal keys are equal rows.
+    last = marked.select("key").orderBy("key").limit(rows).agg(F.max("key")).first()[0]
+    if last is None:
+        return []
+    chosen = marked.filter(F.col("key") <= last).limit(rows)
     found = map_pieces(chosen, "text", "key long, snippet string", make).distinct().collect()
     return [(s, base_spans(s)) for _, s in sorted((r["key"], r["snippet"]) for r in found)]
 
