@@ -1,7 +1,7 @@
 """Main text of web pages, with the templates of their sites removed.
 
 Every element subtree is hashed. Spark counts, for each host, on how many different articles a subtree
-stands; one that recurs on many is part of the site's template and is deleted. What tags, roles and
+stands; one that recurs on many, and on a share of them, is part of the site's template and is deleted. What tags, roles and
 class names declare as navigation, notices, adverts, forms or comments is deleted as well, and
 the blocks of the article that remain are joined.
 """
@@ -11,7 +11,8 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Mapping
+from types import MappingProxyType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import map_pieces, text_column
 
-# A subtree on this many different articles of a host is part of its template, as text that
-# single pages share by chance or by quoting is not.
+# A subtree on this many different articles of a host, and on this share of them, is part of its
+# template, as text that single pages share by chance or by quoting is not.
 TEMPLATE_PAGES = 8
+TEMPLATE_SHARE = 0.1
+# Longest blocks that near copies of an article are known by.
+_BODIES = 4
 # Template hashes that are sent to every task; more are joined to the pages instead.
 BROADCAST_HASHES = 200_000
 
@@ -46,6 +50,8 @@ _BLOCKS = {
 _ENDS_P = _BLOCKS | {"aside", "footer", "form", "nav", "fieldset", "menu", "search"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _TEXT = {"p", "pre", "blockquote", *_HEADINGS}
+# Parts of lists and tables, which in a marked article go with the whole list or table only.
+_PARTS = {"li", "dt", "dd", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "figcaption", "summary"}
 # Elements that an opening tag ends, and the elements that its search stops at.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -214,52 +220,69 @@ def article_root(elements: list[Element]) -> tuple[list[Element], bool]:
     return [elements[0]], False
 
 
-def blocks(roots: list[Element], marked: bool, template: Iterable[bytes] = ()) -> list[str]:
+def blocks(
+    roots: list[Element],
+    marked: bool,
+    template: Mapping[bytes, bool] = MappingProxyType({}),
+    candidates: list[Element] | None = None,
+    headings: list[bool] | None = None,
+) -> list[str]:
     """Texts of the blocks below the roots, without declared and template parts.
 
-    A recurring paragraph or heading, or a list item or cell of a marked article, is text that pages
-    share; only other recurring elements are templates.
+    A recurring paragraph or heading, or a part of a list or table of a marked article, is text that
+    pages share, with all that is inside it, and so is an inline element beside text; only other
+    recurring elements are templates. ``template`` says of each if it is kept, with all inside it, as
+    most of an article. Those that could be are added to ``candidates``, and to ``headings``
+    whether each block is one.
     """
     out: list[str] = []
     current: list[str] = []
 
-    def flush() -> None:
+    def flush(heading: bool = False) -> None:
         text = " ".join(entities.unescape("".join(current)).split())
         current.clear()
         if text:
             out.append(text)
+            if headings is not None:
+                headings.append(heading)
 
     for root in roots:
-        todo: list = [(root, False)]
+        todo: list = [(root, False, False, False)]
         while todo:
-            x, closing = todo.pop()
+            x, closing, in_text, beside = todo.pop()
             if isinstance(x, str):
                 current.append(x)
                 continue
             block = x.name in _BLOCKS
             if closing:
-                flush()
+                flush(x.name in _HEADINGS)
                 continue
             if x is not root:
                 # A comment of a reader is an article inside the article.
                 if _declared(x, marked) or marked and x.name == "article":
                     current.append(" ")
                     continue
-                text_block = x.name in _TEXT or marked and x.name in ("li", "td", "th")
-                if x.digest in template and not text_block and x.inside:
-                    continue
+                in_text = in_text or x.name in _TEXT or marked and x.name in _PARTS
+                if x.inside and not in_text and not (beside and x.name not in _ENDS_P):
+                    kept = template.get(x.digest)
+                    if kept is False:
+                        continue
+                    in_text = bool(kept)
+                    if candidates is not None:
+                        candidates.append(x)
             if x.name == "header" and marked:
-                headings = [e for e in _ordered(x) if e.name in _HEADINGS]
-                todo += [(e, False) for e in reversed(headings)]
                 flush()
+                todo += [(e, False, True, False) for e in reversed(_ordered(x)) if e.name in _HEADINGS]
                 continue
             if x.name in ("br", "wbr"):
                 current.append(" " if x.name == "br" else "")
                 continue
             if block:
                 flush()
-                todo.append((x, True))
-            todo += [(y, False) for y in reversed(x.inside)]
+                todo.append((x, True, False, False))
+            # Inline elements of a block with text of its own stand in its sentences.
+            beside = beside and not block or any(isinstance(y, str) and y.strip() for y in x.inside)
+            todo += [(y, False, in_text, beside) for y in reversed(x.inside)]
         flush()
     return out
 
@@ -269,54 +292,110 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _subtrees(page: str) -> tuple[str, list[int]]:
-    """A hash of the page's article, and hashes of the elements that could be templates."""
+def _text_sizes(elements: list[Element]) -> dict[int, int]:
+    """Characters of text in each element, by its id."""
+    sizes: dict[int, int] = {}
+    for e in reversed(elements):
+        inside = (sizes[id(x)] if isinstance(x, Element) else len(" ".join(x.split())) for x in e.inside)
+        sizes[id(e)] = 0 if e.name in _DROPPED else sum(inside)
+    return sizes
+
+
+def _bodies(texts: list[str], headings: list[bool]) -> int:
+    """Six bits of a hash of each of the longest blocks that are no headings, 11 bits apart.
+
+    Bits 6 to 10 of each say whether there is such a block.
+    """
+    body = [t for t, h in zip(texts, headings) if not h] or texts
+    packed = 0
+    for rank, text in enumerate(sorted(set(body), key=lambda t: (-len(t), t))[:_BODIES]):
+        low = hashlib.blake2b(text.encode(errors="replace"), digest_size=1).digest()[0] & 63
+        packed |= (64 | low) << 11 * rank
+    return packed
+
+
+def _subtrees(page: str) -> tuple[str, int, list[tuple[int, bool]]]:
+    """A hash of the page's article, its bodies, and the elements that could be templates.
+
+    Of an element its hash, and if it is most of a marked article.
+    """
     elements = subtree_hashes(parse(page))
     roots, marked = article_root(elements)
-    own = hashlib.blake2b("\n".join(blocks(roots, marked)).encode(errors="replace"), digest_size=8).hexdigest()
-    kept = {e.digest for e in elements if e.inside and e.name not in ("#page", "html", "body", "head", "article", "main")}
-    return own, [int.from_bytes(d, "little", signed=True) for d in kept]
+    found, headings = [], []
+    texts = blocks(roots, marked, candidates=found, headings=headings)
+    own = hashlib.blake2b("\n".join(texts).encode(errors="replace"), digest_size=8).hexdigest()
+    sizes = _text_sizes(elements)
+    whole = sum(sizes[id(e)] for e in roots)
+    most = {e.digest: marked and 2 * sizes[id(e)] > whole for e in found}
+    return own, _bodies(texts, headings), [(int.from_bytes(d, "little", signed=True), m) for d, m in most.items()]
 
 
 def template_subtrees(pages: DataFrame, min_pages: int = TEMPLATE_PAGES) -> DataFrame:
-    """(host, subtree): hashes of element subtrees that stand on ``min_pages`` different articles.
+    """(host, subtree, kept): hashes of element subtrees on ``min_pages`` different articles.
 
-    Pages whose articles are equal count once, so that copies of an article, however many, do not
-    make a template of it. Rows are made distinct in each task before they are shuffled.
+    They must also stand on ``TEMPLATE_SHARE`` of the host's different articles. Those that are most of
+    a marked article on most of their pages are kept. Pages whose articles are equal count once, so that copies of an article,
+    however many, do not make a template of it. Nor do near copies: the articles must differ in
+    one of their longest blocks. Rows are made distinct in each task before they are shuffled.
     """
+    from ..session import materialise
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             rows = set()
             for where, page in zip(batch.column(1).to_pylist(), text_column(batch, "html").to_pylist()):
-                own, found = _subtrees(page)
-                rows.update((where, d, own) for d in found)
-            rows = sorted(rows)
-            return {"host": [r[0] for r in rows], "subtree": [r[1] for r in rows], "article": [r[2] for r in rows]}
+                own, bodies, found = _subtrees(page)
+                # The row without a subtree counts the article itself.
+                rows.add((where, None, own, bodies, False))
+                rows.update((where, d, own, bodies, most) for d, most in found)
+            names = ("host", "subtree", "article", "bodies", "most")
+            return {name: [r[i] for r in rows] for i, name in enumerate(names)}
 
         return work
 
     placed = pages.select("html", host(F.col("url")).alias("host"))
-    found = map_pieces(placed, "html", "host string, subtree long, article string", make).distinct()
-    counted = found.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("articles"))
-    return counted.filter(F.col("articles") >= min_pages).select("host", "subtree")
+    schema = "host string, subtree long, article string, bodies long, most boolean"
+    found = map_pieces(placed, "html", schema, make).distinct()
+    # A bit for each different body of a rank: up to 64, enough to tell copies from articles.
+    seen = []
+    for rank in range(_BODIES):
+        own = F.shiftright("bodies", 11 * rank).bitwiseAND(F.lit(127))
+        bit = F.expr(f"shiftleft(1L, CAST(shiftright(bodies, {11 * rank}) & 63 AS INT))")
+        seen.append(F.bit_count(F.coalesce(F.bit_or(F.when(own >= 64, bit)), F.lit(0))))
+    counted = found.groupBy("host", "subtree").agg(
+        F.count(F.lit(1)).alias("articles"),
+        F.greatest(*seen).alias("bodies"),
+        (F.avg(F.col("most").cast("int")) > 0.5).alias("kept"),
+    )
+    counted = materialise(
+        counted.filter(
+            F.col("subtree").isNull()
+            | (F.col("articles") >= min_pages)
+            & (F.col("bodies") >= F.greatest(F.lit(min_pages / 2), F.least("articles", F.lit(64)) / 8))
+        ),
+        "recurring-subtrees",
+    )
+    sizes = counted.filter(F.col("subtree").isNull()).select(F.col("host").alias("of"), F.col("articles").alias("whole"))
+    recurring = counted.filter(F.col("subtree").isNotNull())
+    shared = recurring.join(sizes, F.col("host") == F.col("of"))
+    return shared.filter(F.col("articles") >= TEMPLATE_SHARE * F.col("whole")).select("host", "subtree", "kept")
 
 
 def _extract(pages: DataFrame, hosts, key: str) -> DataFrame:
     """Main texts of (page_id, url, html, key).
 
     ``hosts`` is a broadcast of template hashes by host, which ``key`` names; without it, ``key``
-    holds a page's own list of them.
+    holds a page's own list of them. With each hash goes whether it is kept.
     """
 
     def make():
-        by_host = {h: set(map(_digest, found)) for h, found in hosts.value.items()} if hosts else None
+        by_host = {h: _digests(found) for h, found in hosts.value.items()} if hosts else None
 
         def work(batch: pa.RecordBatch) -> dict:
             texts = []
             known = batch.column(batch.schema.names.index(key)).to_pylist()
             for of, page in zip(known, text_column(batch, "html").to_pylist()):
-                template = by_host.get(of, ()) if hosts else set(map(_digest, of or ()))
+                template = by_host.get(of, {}) if hosts else _digests([(t["subtree"], t["kept"]) for t in of or ()])
                 root = parse(page)
                 roots, marked = article_root(subtree_hashes(root))
                 texts.append("\n".join(blocks(roots, marked, template)))
@@ -328,8 +407,8 @@ def _extract(pages: DataFrame, hosts, key: str) -> DataFrame:
     return map_pieces(pages, "html", "page_id long, url string, text string, n_chars long", make)
 
 
-def _digest(number: int) -> bytes:
-    return number.to_bytes(8, "little", signed=True)
+def _digests(found: list[tuple[int, bool]]) -> dict[bytes, bool]:
+    return {number.to_bytes(8, "little", signed=True): kept for number, kept in found}
 
 
 def extract_pages(pages: DataFrame, min_pages: int = TEMPLATE_PAGES) -> DataFrame:
@@ -349,10 +428,10 @@ def extract_pages(pages: DataFrame, min_pages: int = TEMPLATE_PAGES) -> DataFram
     named = pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host"))
     rows = found.limit(BROADCAST_HASHES + 1).collect()
     if len(rows) <= BROADCAST_HASHES:
-        by_host: dict[str, list[int]] = {}
+        by_host: dict[str, list[tuple[int, bool]]] = {}
         for row in rows:
-            by_host.setdefault(row["host"], []).append(row["subtree"])
+            by_host.setdefault(row["host"], []).append((row["subtree"], row["kept"]))
         return _extract(named, spark.sparkContext.broadcast(by_host), "host")
-    per_host = found.groupBy(F.col("host").alias("of")).agg(F.collect_list("subtree").alias("template"))
+    per_host = found.groupBy(F.col("host").alias("of")).agg(F.collect_list(F.struct("subtree", "kept")).alias("template"))
     joined = named.join(per_host, F.col("host") == F.col("of"), "left").drop("of", "host")
     return _extract(joined, None, "template")

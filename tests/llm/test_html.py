@@ -86,3 +86,30 @@ def test_nulls_repeats_and_no_pages(spark):
     got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in df.collect()), key=repr)
     assert got == [(1, "", 0), (2, "", 0), (2, "", 0), (None, "a", 1)]
     assert extract(spark, []) == {}
+
+
+def test_article_text_of_a_hot_host_stays(spark):
+    link = "<p>page # has <a href='/x'>common</a> words</p><div>and <em>loose</em> text #</div>"
+    table = "<table><tr><td>Total</td><td>0</td></tr><tr><td>n#</td></tr></table>"
+    quoted = "<section><div>a passage that few pages of a large site quote</div></section>"
+    rows = site(20, f"<body><article>{link}{table}<div><b>Follow us</b></div></article></body>")
+    rows += site(180, "<body><article><p>page # of others</p><div><b>Follow us</b></div></article></body>", 100)
+    rows += site(12, f"<body><article><p>quoting #</p>{quoted}</article></body>", 400)
+    # Near copies differ in their headlines, and are most of the pages of their own host too.
+    parts = "".join(f"<section><div>part {i} of the story that was copied</div></section>" for i in range(5))
+    near = f"<body><h1>Headline #</h1>{parts}</body>"
+    rows += site(10, near, 500) + site(10, near, 600, "c.example.com")
+    got = extract(spark, rows)
+    assert got[3] == "page 3 has common words\nand loose text 3\nTotal\n0\nn3"
+    assert got[150] == "page 150 of others"
+    assert got[405] == "quoting 405\na passage that few pages of a large site quote"
+    for i in (505, 605):
+        assert got[i].split("\n") == [f"Headline {i}", *(f"part {k} of the story that was copied" for k in range(5))]
+
+
+def test_most_of_an_article_is_no_template(spark, monkeypatch):
+    body = "<div>" + "".join(f"<section>{w} text of a long story</section>" for w in "abcd") + "</div>"
+    rows = site(10, f"<body><article><h1>#</h1><p>{'word ' * 9}#</p>{body}</article></body>")
+    for most in (html.BROADCAST_HASHES, 0):
+        monkeypatch.setattr(html, "BROADCAST_HASHES", most)
+        assert all("c text of a long story" in t for t in extract(spark, rows).values())
