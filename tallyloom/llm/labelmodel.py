@@ -17,11 +17,13 @@ class LabelModel:
 
     ``classes[k]`` is the class, 0 or 1, of the documents of kind k; a class may have several
     kinds, which voters tell apart. With ``parents[j] = -1`` the votes of voter j depend on the kind
-    alone. Otherwise they are correlated, within a kind, with the votes of its parent.
+    alone. Otherwise they are correlated, within a kind, with the votes of its parent. Where votes are
+    correlated, an abstention is a vote too: what a child votes beside it says little without it.
     """
 
-    def __init__(self, n_voters: int, classes: np.ndarray):
+    def __init__(self, n_voters: int, classes: np.ndarray, correlated: bool = False):
         self.parents = [-1] * n_voters
+        self.correlated = correlated
         self.classes = np.asarray(classes)
         self.shares = np.full(len(classes), 1 / len(classes))
         self.tables: list[np.ndarray] = []
@@ -39,9 +41,12 @@ class LabelModel:
             table = np.full((len(self.classes), 3, 3), 0.1)
             for k in range(len(self.classes)):
                 np.add.at(table[k], (self._above(votes, j), votes[:, j]), weights[:, k])
-            # An abstention says nothing of the kind: it counts for one, like no voter.
-            table /= table[:, :, :ABSTAIN].sum(2, keepdims=True)
-            table[:, :, ABSTAIN] = 1
+            if self.correlated:
+                table /= table.sum(2, keepdims=True)
+            else:
+                # An abstention says nothing of the kind: it counts for one, like no voter.
+                table /= table[:, :, :ABSTAIN].sum(2, keepdims=True)
+                table[:, :, ABSTAIN] = 1
             self.tables.append(table)
 
     def kinds(self, votes: np.ndarray) -> np.ndarray:
@@ -102,7 +107,7 @@ def fit(
     ``known`` holds documents of each kind whose label is given, beside ``counts`` of those whose
     label is not.
     """
-    model = LabelModel(votes.shape[1], np.array(classes))
+    model = LabelModel(votes.shape[1], np.array(classes), correlated)
     known = np.zeros(start.shape) if known is None else known
     p = start.astype(float)
     for step in range(rounds):

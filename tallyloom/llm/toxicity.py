@@ -285,27 +285,27 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     first = np.where((votes == 1).any(1), 0.9, 0.05)
     labeller = fit(votes, table[:, 2], np.stack([1 - first, first], axis=1), known=table[:, :2], correlated=True)
 
-    chosen = _with_labels(sample(docs, rows), known)
-    return ToxicityModel(*_train_classifier(chosen, voters, labeller), labeller)
+    return ToxicityModel(*_train_classifier(sample(docs, rows), voters, labeller), labeller)
 
 
 def _train_classifier(docs: DataFrame, voters: Voters, labeller: LabelModel) -> tuple[np.ndarray, float]:
-    """Fit weights of hashed terms and a bias to the posterior labels of rows (text, label).
+    """Fit weights of hashed terms and a bias to the posterior labels of ``docs``.
+
+    Given labels are read by the lexicons and the label model only, so that the classifier learns the
+    same way whatever share of the documents has one.
 
     Long texts would gather weight by chance from many features without evidence. So features
     are first screened by how far their texts' labels lie from the average in standard errors,
     then a lasso chooses among them, and the chosen ones are fitted without its shrinkage.
     """
 
-    def targets(batch: pa.RecordBatch, texts: pa.Array) -> np.ndarray:
-        label = batch.column(1).to_numpy().astype(np.int64)
-        # Where the label is known, so is the posterior.
-        return np.where(label < 2, label, labeller.posterior(voters.cast(texts)))
+    def targets(texts: pa.Array) -> np.ndarray:
+        return labeller.posterior(voters.cast(texts))
 
     def make_counts():
         def work(batch: pa.RecordBatch) -> dict:
             texts = text_column(batch, "text")
-            target = targets(batch, texts)
+            target = targets(texts)
             place, counts = hashed_terms(texts)
             found, at = np.unique(place, return_inverse=True)
             sums = np.bincount(at, np.repeat(target, counts), len(found))
@@ -342,7 +342,7 @@ def _train_classifier(docs: DataFrame, voters: Voters, labeller: LabelModel) ->
             own = np.isin(place, kept)
             cuts = np.searchsorted(owner[own], np.arange(1, len(texts)))
             packed = [np.searchsorted(kept, p).astype("<i4").tobytes() for p in np.split(place[own], cuts)]
-            return {"target": targets(batch, texts), "place": packed}
+            return {"target": targets(texts), "place": packed}
 
         return work
 

@@ -66,6 +66,15 @@ def test_held_out_labels_change_nothing(spark):
     assert scores[0] == scores[1]
 
 
+def test_classifier_learns_from_posteriors_only(spark, monkeypatch):
+    seen, train = [], toxicity.train_linear
+    monkeypatch.setattr(toxicity, "train_linear", lambda rows, target, *a, **k: seen.append(target) or train(rows, target, *a, **k))
+    docs, labels = corpus(300)
+    df = spark.createDataFrame(docs, "doc_id long, text string, label string")
+    toxicity.train_toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int, fold int"))
+    assert seen and len(seen[0]) == 300 and all(0 < t < 1 for t in seen[0])
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string"
     rows = [(None, "you idiot"), (1, None), (2, ""), (3, "word " * 50_000), (3, "word " * 50_000)]
