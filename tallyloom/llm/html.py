@@ -24,6 +24,8 @@ from .common import map_pieces, text_column
 # template, as text that single pages share by chance or by quoting is not.
 TEMPLATE_PAGES = 8
 TEMPLATE_SHARE = 0.1
+# On hosts with fewer articles, this many of them and this share of them are enough.
+SMALL_PAGES, SMALL_SHARE = 4, 0.75
 # Longest blocks that near copies of an article are known by.
 _BODIES = 4
 # Template hashes that are sent to every task; more are joined to the pages instead.
@@ -66,7 +68,8 @@ _ENDS = {
 _DROPPED = {
     "head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select",
     "textarea", "iframe", "object", "svg", "canvas", "audio", "video", "menu", "dialog", "datalist", "title",
-    "fieldset", "label", "input", "map", "math", "search", "noframes", "noembed",
+    "fieldset", "label", "input", "map", "search", "noframes", "noembed", "annotation",
+    "annotation-xml",
 }
 _DROPPED_ROLES = {
     "navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog",
@@ -333,7 +336,8 @@ def _subtrees(page: str) -> tuple[str, int, list[tuple[int, bool]]]:
 def template_subtrees(pages: DataFrame, min_pages: int = TEMPLATE_PAGES) -> DataFrame:
     """(host, subtree, kept): hashes of element subtrees on ``min_pages`` different articles.
 
-    They must also stand on ``TEMPLATE_SHARE`` of the host's different articles. Those that are most of
+    On a host with few articles, ``SMALL_PAGES`` that are ``SMALL_SHARE`` of them are enough. They must
+    also stand on ``TEMPLATE_SHARE`` of the host's different articles. Those that are most of
     a marked article on most of their pages are kept. Pages whose articles are equal count once, so that copies of an article,
     however many, do not make a template of it. Nor do near copies: the articles must differ in
     one of their longest blocks. Rows are made distinct in each task before they are shuffled.
@@ -370,15 +374,17 @@ def template_subtrees(pages: DataFrame, min_pages: int = TEMPLATE_PAGES) -> Data
     counted = materialise(
         counted.filter(
             F.col("subtree").isNull()
-            | (F.col("articles") >= min_pages)
-            & (F.col("bodies") >= F.greatest(F.lit(min_pages / 2), F.least("articles", F.lit(64)) / 8))
+            | (F.col("articles") >= min(SMALL_PAGES, min_pages))
+            & (F.col("bodies") >= F.greatest(F.lit(min(SMALL_PAGES, min_pages) / 2), F.least("articles", F.lit(64)) / 8))
         ),
         "recurring-subtrees",
     )
     sizes = counted.filter(F.col("subtree").isNull()).select(F.col("host").alias("of"), F.col("articles").alias("whole"))
     recurring = counted.filter(F.col("subtree").isNotNull())
     shared = recurring.join(sizes, F.col("host") == F.col("of"))
-    return shared.filter(F.col("articles") >= TEMPLATE_SHARE * F.col("whole")).select("host", "subtree", "kept")
+    least = F.least(F.lit(min_pages), F.greatest(F.lit(SMALL_PAGES), SMALL_SHARE * F.col("whole")))
+    often = (F.col("articles") >= least) & (F.col("articles") >= TEMPLATE_SHARE * F.col("whole"))
+    return shared.filter(often & (F.col("bodies") >= least / 2)).select("host", "subtree", "kept")
 
 
 def _extract(pages: DataFrame, hosts, key: str) -> DataFrame:

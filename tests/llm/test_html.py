@@ -113,3 +113,10 @@ def test_most_of_an_article_is_no_template(spark, monkeypatch):
     for most in (html.BROADCAST_HASHES, 0):
         monkeypatch.setattr(html, "BROADCAST_HASHES", most)
         assert all("c text of a long story" in t for t in extract(spark, rows).values())
+
+
+def test_templates_of_small_hosts_go_and_formulas_stay(spark):
+    formula = "<math><mi>x</mi><mo>=</mo><mn>#</mn><annotation>x</annotation></math>"
+    page = f"<body><div><b>Follow us</b></div><div><p>text # with {formula} in it</p></div></body>"
+    got = extract(spark, site(5, page))
+    assert got[2] == "text 2 with x=2 in it"
