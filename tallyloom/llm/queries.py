@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .fillmiddle import fill_middle_digests
 from .fingerprints import fingerprint_documents
 from .html import extract_pages
 from .knn import scaled_vectors, top_k
@@ -157,3 +158,41 @@ def op2_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents: counts and places."""
     return find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
+@registered
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of all documents at line ends, and digests of their outputs and of the texts rebuilt."""
+    return fill_middle_digests(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_fill_middle"] = """
+WITH lined AS (
+  SELECT doc_id, coalesce(text, '') AS whole,
+         regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS units,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n,
+         CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS one,
+         CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS two,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS three,
+         CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS four
+  FROM lined),
+formed AS (
+  SELECT *, array_to_string(units[1:least(one, two)], '') AS prefix,
+         array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS middle,
+         array_to_string(units[greatest(one, two) + 1:], '') AS suffix,
+         CASE WHEN whole = '' OR contains(whole, '<P>') OR contains(whole, '<S>')
+                OR contains(whole, '<M>') OR three >= 100 THEN 'plain'
+              WHEN four < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN whole
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(whole) AS restored_sha256
+FROM formed
+"""
