@@ -11,6 +11,7 @@ from .panel import (
     share_of_total,
     time_axis,
 )
+from .positions import block_carries, number_rows, present_blocks, sorted_blocks, with_positions
 from .recode import label_codes, recode_ranges
 from .reshape import ordered_values, pivot_ordered, sort_desc_nulls_last, union_by_name
 from .shares import (
@@ -25,6 +26,7 @@ from .shares import (
 
 __all__ = [
     "attach_denominator",
+    "block_carries",
     "duplicate_keys",
     "join_dimension",
     "join_lookup",
@@ -34,8 +36,10 @@ __all__ = [
     "label_codes",
     "latest_values",
     "mean_by_group",
+    "number_rows",
     "ordered_values",
     "pivot_ordered",
+    "present_blocks",
     "rate",
     "rates_with_total",
     "recode_ranges",
@@ -46,9 +50,11 @@ __all__ = [
     "share_of_total",
     "share_rates",
     "sort_desc_nulls_last",
+    "sorted_blocks",
     "tally",
     "time_axis",
     "total_rate",
     "union_by_name",
+    "with_positions",
     "wrong_piece_count",
 ]

@@ -1 +1,3 @@
-"""Registered queries over the driver's tables, and their SQL twins."""
+"""Registered queries over the test tables, and their SQL twins."""
+
+from . import oracle_order, queries_order  # noqa: F401  (they add to the registries)
