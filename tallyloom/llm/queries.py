@@ -16,6 +16,7 @@ from .mixing import mix_sources
 from .pieces import token_digests
 from .pii import find_personal_data
 from .quality import score_quality
+from .resample import draw_by_importance
 from .toxicity import score_toxicity
 from .simjoin import jaccard_components
 from .tokenfile import read_documents, write_segments
@@ -196,3 +197,62 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
        sha256(whole) AS restored_sha256
 FROM formed
 """
+
+
+@registered
+def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the longer documents, drawn by their likeness to the benchmark texts."""
+    return draw_by_importance(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+
+
+# The remainders of CRC-32 come from its polynomial, bit by bit.
+ORACLE["op11_importance_draw"] = r"""
+WITH remainders AS (
+  SELECT list(rest ORDER BY i) AS rests FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS rest
+    FROM range(256) AS bytes(i))),
+texts AS (
+  SELECT true AS source, row_number() OVER () AS id, doc_id, text FROM documents
+  UNION ALL SELECT false, row_number() OVER (), NULL, text FROM benchmark),
+worded AS (
+  SELECT source, id, doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM texts),
+featured AS (
+  SELECT source, id, unnest(words || list_transform(range(1, len(words)),
+           lambda i: words[i] || ' ' || words[i + 1])) AS feature
+  FROM worded),
+counted AS (SELECT source, id, feature, count(*) AS n FROM featured GROUP BY ALL),
+bucketed AS (
+  SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(feature)),
+             lambda i: CAST('0x' || substr(hex(feature), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))),
+           lambda c, b: xor(c >> 8, rests[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM counted), remainders),
+filled AS (
+  SELECT bucket, sum(n) FILTER (source) AS s, sum(n) FILTER (NOT source) AS t
+  FROM counted JOIN bucketed USING (feature) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (all_s + 10000)
+                                      / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (all_t + 10000)))) AS BIGINT) AS gain
+  FROM filled, (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS all_s,
+                       CAST(coalesce(sum(t), 0) AS DOUBLE) AS all_t FROM filled) AS whole),
+weighted AS (
+  SELECT id, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight
+  FROM counted JOIN bucketed USING (feature) JOIN gains USING (bucket) WHERE source GROUP BY id),
+scored AS (
+  SELECT doc_id, len(words) AS n_words, greatest(0, 2 * len(words) - 1) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+           (CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)
+            + CAST(0.5 AS DOUBLE)) / 4294967296))) AS BIGINT) AS score
+  FROM worded LEFT JOIN weighted USING (id) WHERE source),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place,
+         count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank
+FROM ranked
+"""
