@@ -18,6 +18,7 @@ from .pii import find_personal_data
 from .quality import score_quality
 from .resample import draw_by_importance
 from .toxicity import score_toxicity
+from .sharding import shard_digests, write_shards
 from .simjoin import jaccard_components
 from .tokenfile import read_documents, write_segments
 
@@ -256,3 +257,9 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT)
        CASE WHEN n_words >= 20 AND place <= 25 * n // 100 THEN place END AS rank
 FROM ranked
 """
+
+
+@registered
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in random order in 40 shards of equal numbers of rows, read back from files."""
+    return shard_digests(spark, write_shards(read_table(spark, sf_dir, "documents"), 40))
