@@ -1,8 +1,18 @@
 """DataFrame to DataFrame operators."""
 
 from .checks import duplicate_keys, wrong_piece_count
+from .exact import (
+    exact_mean_by_group,
+    exact_row_mean_across_series,
+    exact_share_rates,
+    exact_sum_columns,
+    exact_sum_of,
+    exact_sums,
+    value_grid,
+)
 from .filters import keep_dates, keep_listed
 from .joins import attach_denominator, join_dimension, join_lookup, join_null_safe
+from .long_windows import exact_rolling_mean, trailing_mean
 from .panel import (
     latest_values,
     rolling_mean,
@@ -12,6 +22,7 @@ from .panel import (
     time_axis,
 )
 from .positions import block_carries, number_rows, present_blocks, sorted_blocks, with_positions
+from .range_lookup import dyadic_intervals, lookup_ranges
 from .recode import label_codes, recode_ranges
 from .reshape import ordered_values, pivot_ordered, sort_desc_nulls_last, union_by_name
 from .shares import (
@@ -28,6 +39,14 @@ __all__ = [
     "attach_denominator",
     "block_carries",
     "duplicate_keys",
+    "dyadic_intervals",
+    "exact_mean_by_group",
+    "exact_rolling_mean",
+    "exact_row_mean_across_series",
+    "exact_share_rates",
+    "exact_sum_columns",
+    "exact_sum_of",
+    "exact_sums",
     "join_dimension",
     "join_lookup",
     "join_null_safe",
@@ -35,6 +54,7 @@ __all__ = [
     "keep_listed",
     "label_codes",
     "latest_values",
+    "lookup_ranges",
     "mean_by_group",
     "number_rows",
     "ordered_values",
@@ -54,7 +74,9 @@ __all__ = [
     "tally",
     "time_axis",
     "total_rate",
+    "trailing_mean",
     "union_by_name",
+    "value_grid",
     "with_positions",
     "wrong_piece_count",
 ]

@@ -26,31 +26,40 @@ def present_blocks(df: DataFrame) -> DataFrame:
     Rows of a higher block come after all rows of a lower one; ``__row`` counts from 0 inside a block.
     """
     placed = (
-        df.withColumn("__at", F.monotonically_increasing_id())
-        .withColumn("__block", F.shiftright("__at", _ROW_BITS))
-        .withColumn("__row", F.col("__at").bitwiseAND((1 << _ROW_BITS) - 1))
-        .drop("__at")
+        df.withColumn("__number", F.monotonically_increasing_id())
+        .withColumn("__block", F.shiftright("__number", _ROW_BITS))
+        .withColumn("__row", F.col("__number").bitwiseAND((1 << _ROW_BITS) - 1))
+        .drop("__number")
     )
     return materialise(placed, "blocks")
 
 
 def sorted_blocks(
-    df: DataFrame, order: Sequence[str | Column], blocks: int | None = None
+    df: DataFrame,
+    order: Sequence[str | Column],
+    blocks: int | None = None,
+    spread_ties: bool = True,
 ) -> DataFrame:
     """Rows in the given order as ``present_blocks``, one block for each range of the order.
 
     ``order`` names columns, or columns with ``asc_nulls_last`` and the like. Rows equal in the
-    whole order are spread over blocks too, in no set order, so that no block is hot. ``blocks`` is
-    the session's number of shuffle partitions unless given. ``df`` is read twice, once for a sample
-    of its keys; write it first if it is costly to compute.
+    whole order are spread over blocks too, in no set order, so that no block is hot; without
+    ``spread_ties`` they share a block. ``blocks`` is the session's number of shuffle partitions
+    unless given. ``df`` is read twice, once for a sample of its keys; write it first if it is
+    costly to compute.
     """
     n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return present_blocks(_sorted(df, order, n, spread_ties))
+
+
+def _sorted(df: DataFrame, order: Sequence[str | Column], n: int, spread_ties: bool) -> DataFrame:
+    part = "__part"
+    while part in df.columns:
+        part += "_"
     # The number of the row in the input parts equal rows; it takes no other part.
-    parted = df.withColumn("__part", F.xxhash64(F.monotonically_increasing_id()))
-    keys = [*order, "__part"]
-    return present_blocks(
-        parted.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("__part")
-    )
+    parted = df.withColumn(part, F.xxhash64(F.monotonically_increasing_id()))
+    keys = [*order, part] if spread_ties else list(order)
+    return parted.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(part)
 
 
 def block_carries(totals: DataFrame, block: str, values: Mapping[str, str]) -> DataFrame:
@@ -79,11 +88,14 @@ def block_carries(totals: DataFrame, block: str, values: Mapping[str, str]) -> D
     )
 
 
-def _numbered(blocks: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
+def _numbered(rows: DataFrame, out: str) -> DataFrame:
+    """Rows as one column, so that no name of theirs meets one of the blocks'."""
+    record = F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("__record")
+    blocks = present_blocks(rows.select(record))
     totals = blocks.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
     carries = block_carries(totals, "__block", {"__before": "__n"})
     return blocks.join(carries, "__block").select(
-        *(F.col(f"`{c}`") for c in columns if c != out),
+        *(F.col(f"__record.`{c}`").alias(c) for c in rows.columns if c != out),
         (F.col("__before") + F.col("__row") + 1).cast("long").alias(out),
     )
 
@@ -94,7 +106,7 @@ def number_rows(df: DataFrame, out: str = "position") -> DataFrame:
     The order of a table as a column: it can be stored, joined and compared, where the order of rows
     is lost in the next shuffle. No shuffle of the rows; they are written once.
     """
-    return _numbered(present_blocks(df), df.columns, out)
+    return _numbered(df, out)
 
 
 def with_positions(
@@ -105,4 +117,5 @@ def with_positions(
     Rows equal in the whole order get neighbouring positions in no set order, so name ties that make
     the order unique. One range shuffle and one written table; an empty table stays empty.
     """
-    return _numbered(sorted_blocks(df, order, blocks), df.columns, out)
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _numbered(_sorted(df, order, n, True), out)

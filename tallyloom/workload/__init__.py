@@ -1,3 +1,3 @@
 """Registered queries over the test tables, and their SQL twins."""
 
-from . import oracle_order, queries_order  # noqa: F401  (they add to the registries)
+from . import oracle_exact, oracle_order, queries_exact, queries_order  # noqa: F401  (they register)

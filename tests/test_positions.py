@@ -24,6 +24,13 @@ def test_positions_are_those_of_a_sort(spark, blocks):
     assert placed.columns == ["id", "value", "position", "place"]
 
 
+def test_clashing_names_are_kept(spark):
+    names = ["__block", "__row", "__part", "__record", "__number", "__n"]
+    df = spark.createDataFrame([tuple(range(i, i + 6)) for i in range(9)], ", ".join(f"{n} long" for n in names))
+    got = op.with_positions(df, [F.desc("__row")]).collect()
+    assert sorted(tuple(r) for r in got) == [(*range(i, i + 6), 9 - i) for i in range(9)]
+
+
 def test_a_column_of_that_name_is_replaced(spark):
     placed = op.with_positions(frame(spark), ["id"])
     assert placed.columns == ["id", "value", "position"]
