@@ -2,12 +2,13 @@
 
 Quotes are doubled to escape them, and a backslash is a character like others. Without
 ``multi_line`` no file may hold line breaks inside quotes, so that Spark can split large files
-between tasks; the writer refuses to make such files.
+between tasks: the writer refuses to make such files, and the reader to read them.
+``lines.read_quoted_csv`` reads them in parallel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,14 @@ def _without_padding(df: DataFrame, but: str | None = None) -> DataFrame:
     return df.withColumns({n: F.when(~c.isin(MISSING, ""), c) for n, c in trimmed.items()})
 
 
+def _closed_quotes(spark: SparkSession, path: str) -> Column:
+    """True if every line closes the quotes it opens; raises otherwise. A scalar subquery."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = spark.read.text(path).agg(F.count_if(quotes % 2 == 1)).scalar()
+    message = F.lit("a line break inside quotes, or an open quote: read with multi_line or read_quoted_csv")
+    return F.when(broken == 0, True).otherwise(F.raise_error(message).cast("boolean"))
+
+
 def read_typed_csv(
     spark: SparkSession,
     path: str,
@@ -42,11 +51,15 @@ def read_typed_csv(
     corrupt_column: str | None = None,
     trim: bool = True,
     multi_line: bool = False,
+    check_quotes: bool = True,
 ) -> DataFrame:
     """CSV with a header and a declared schema; empty fields and ``NA`` are missing.
 
     Blanks around a field are removed, also inside quotes, unless ``trim`` is off. With
-    ``multi_line`` quoted fields may hold line breaks; each file is then read by one task.
+    ``multi_line`` quoted fields may hold line breaks; each file is then read by one task. Without it
+    a line that opens quotes and does not close them fails the query, since its record would come apart
+    in silence. Looking for such lines reads the text once more; turn ``check_quotes`` off for files
+    known to have none.
 
     The header must name the columns of the schema in order; otherwise reading fails, since
     values would land in the wrong columns.
@@ -70,6 +83,8 @@ def read_typed_csv(
         schema = f"{schema}, `{corrupt_column}` STRING"
         reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
     table = reader.schema(schema).csv(path)
+    if check_quotes and not multi_line:
+        table = table.filter(_closed_quotes(spark, path))
     return _one_missing_value(_without_padding(table, corrupt_column) if trim else table)
 
 
