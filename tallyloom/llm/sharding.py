@@ -21,9 +21,11 @@ from ..operators.positions import block_carries
 from ..session import fresh_path, materialise
 
 # Bytes of text that a bucket should hold; a longer record is a bucket of its own size.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 # Buckets in a row that one task writes, so that files hold runs of the order.
 BLOCK_BUCKETS = 4
+# Tasks of the second pass; beyond this many, each writes more buckets.
+MAX_TASKS = 100_000
 # Bytes a record counts beside its text.
 RECORD_BYTES = 16
 
@@ -103,6 +105,7 @@ def write_shards(
         "shard-repeats",
     )
     n_buckets = max(1, -(-n_bytes // bucket_bytes))
+    n_tasks = min(MAX_TASKS, -(-n_buckets // BLOCK_BUCKETS))
     # The number of a row is taken before the join, which may move rows.
     scattered = (
         docs.withColumn(key, _key(seed))
@@ -111,7 +114,7 @@ def write_shards(
         .withColumn(lane, F.when(F.col(twin).isNotNull(), F.col(lane)).otherwise(-1))
         .drop(twin)
         .withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), key, lane), F.lit(n_buckets)))
-        .withColumn(block, F.floor(F.col(bucket) / BLOCK_BUCKETS))
+        .withColumn(block, F.floor(F.col(bucket) * n_tasks / n_buckets).cast("int"))
     )
     kept = [f for f in scattered.schema.fields if f.name not in (key, lane, block)]
     schema = T.StructType([*kept, T.StructField(place, T.LongType())])
@@ -125,8 +128,8 @@ def write_shards(
         return mixed.append_column(place, pa.array(np.arange(table.num_rows, dtype=np.int64)))
 
     path = path or fresh_path(spark, "shards")
-    # Rows are parted by block, which serves the grouping too, and sorted by bucket inside.
-    shuffled = scattered.repartition(block).groupBy(block, bucket).applyInArrow(shuffle, schema)
+    # A partition is a block of buckets, which serves the grouping too, sorted by bucket inside.
+    shuffled = scattered.repartitionById(n_tasks, F.col(block)).groupBy(block, bucket).applyInArrow(shuffle, schema)
     renamed = shuffled.select(
         F.col(f"`{bucket}`").alias("bucket"),
         F.col(f"`{place}`").alias("place"),
