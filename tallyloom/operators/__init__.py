@@ -11,6 +11,7 @@ from .exact import (
     value_grid,
 )
 from .filters import keep_dates, keep_listed
+from .hot_join import frequent_keys, join_null_safe_hot
 from .joins import attach_denominator, join_dimension, join_lookup, join_null_safe
 from .long_windows import exact_rolling_mean, trailing_mean
 from .panel import (
@@ -47,9 +48,11 @@ __all__ = [
     "exact_sum_columns",
     "exact_sum_of",
     "exact_sums",
+    "frequent_keys",
     "join_dimension",
     "join_lookup",
     "join_null_safe",
+    "join_null_safe_hot",
     "keep_dates",
     "keep_listed",
     "label_codes",

@@ -1,0 +1,64 @@
+"""Joins with hot keys against the plain null-safe join, and how rows spread over tasks."""
+
+from __future__ import annotations
+
+from statistics import median
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom import operators as op
+from tallyloom.operators import hot_join
+
+
+def side(spark, n, name, hot=3):
+    key = F.when(F.col("id") % hot != 0, F.col("id") % 97)
+    return spark.range(n).select(key.alias("a"), F.when(F.col("id") % hot != 0, "x").alias("b"), F.col("id").alias(name))
+
+
+def pairs(df):
+    return sorted((r.l, r.r) for r in df.select("l", "r").collect())
+
+
+@pytest.mark.parametrize("rows_per_part", [1, 20, 10_000, None])
+def test_the_same_pairs_as_the_plain_join(spark, rows_per_part):
+    left, right = side(spark, 600, "l"), side(spark, 300, "r")
+    got = op.join_null_safe_hot(left, right, ["a", "b"], rows_per_part)
+    want = op.join_null_safe(left, right, ["a", "b"])
+    assert pairs(got) == pairs(want)
+    assert sorted(got.columns) == sorted(want.columns)
+
+
+def test_a_third_of_both_sides_under_null_is_spread(spark):
+    left, right = side(spark, 60_000, "l"), side(spark, 30_000, "r")
+    found = hot_join.frequent_keys(left, ["a", "b"], 5_000)
+    assert len(found) == 1 and abs(next(iter(found.values())) - 20_000) < 200
+    rows = 250
+    cells = hot_join.Cells.of(found, hot_join.frequent_keys(right, ["a", "b"], 5_000), rows)
+    (a, b) = next(iter(cells.parts.values()))
+    assert a >= 80 and b >= 40
+    hot = hot_join._hot_rows(left, ["a", "b"], cells, 0, "l")
+    per_cell = [r["count"] for r in hot.groupBy("__l", "__r").count().collect()]
+    assert len(per_cell) == a * b and max(per_cell) < 2 * median(per_cell)
+    tasks = hot.repartition(8, "__l", "__r", "a", "b").groupBy(F.spark_partition_id()).count()
+    loads = [r["count"] for r in tasks.collect()]
+    assert len(loads) == 8 and max(loads) < 2 * median(loads)
+
+
+def test_a_key_that_is_hot_on_one_side_copies_the_other_only(spark):
+    left, right = side(spark, 30_000, "l"), side(spark, 6, "r")
+    cells = hot_join.Cells.of(hot_join.frequent_keys(left, ["a", "b"], 100), {}, 100)
+    hot = hot_join._hot_rows(left, ["a", "b"], cells, 0, "l")
+    assert hot.count() == left.join(F.broadcast(hot.select("l").distinct()), "l").count()
+    got = op.join_null_safe_hot(left, right, ["a", "b"], 100)
+    assert pairs(got) == pairs(op.join_null_safe(left, right, ["a", "b"]))
+
+
+def test_missing_keys_are_told_apart_and_empty_sides(spark):
+    rows = [(None, 1), (1, None), (None, None)] * 50
+    left = spark.createDataFrame([(*k, i) for i, k in enumerate(rows)], "a int, b int, l int")
+    right = spark.createDataFrame([(None, 1, 0), (1, None, 1), (None, None, 2), (1, 1, 3)], "a int, b int, r int")
+    got = op.join_null_safe_hot(left, right, ["a", "b"], 5)
+    assert pairs(got) == sorted((i, i % 3) for i in range(150))
+    assert pairs(op.join_null_safe_hot(left.limit(0), right, ["a", "b"])) == []
+    assert pairs(op.join_null_safe_hot(left, right.limit(0), ["a", "b"], 5)) == []
