@@ -35,10 +35,12 @@ from .shares import (
     tally,
     total_rate,
 )
+from .wide_blocks import blocks_to_long, pivot_blocks, read_wide
 
 __all__ = [
     "attach_denominator",
     "block_carries",
+    "blocks_to_long",
     "duplicate_keys",
     "dyadic_intervals",
     "exact_mean_by_group",
@@ -61,10 +63,12 @@ __all__ = [
     "mean_by_group",
     "number_rows",
     "ordered_values",
+    "pivot_blocks",
     "pivot_ordered",
     "present_blocks",
     "rate",
     "rates_with_total",
+    "read_wide",
     "recode_ranges",
     "rolling_mean",
     "row_mean",
