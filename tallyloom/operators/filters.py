@@ -7,6 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+_BYTES = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8}
 
 
 def keep_listed(df: DataFrame, column: str, values: Sequence) -> DataFrame:
@@ -14,10 +18,21 @@ def keep_listed(df: DataFrame, column: str, values: Sequence) -> DataFrame:
 
     Each value takes the type of the column by itself, so that codes given as text, as numbers
     or mixed find integer codes. A list of any length is one ``IN`` predicate, which Spark
-    keeps as a hash set beyond a few values and which reaches the scan.
+    keeps as a hash set beyond a few values and which reaches the scan. Whole numbers and texts
+    are converted here, once; values of other types are cast by Spark.
     """
     type_ = df.schema[column].dataType
-    return df.filter(F.col(column).isin([F.lit(v).cast(type_) for v in dict.fromkeys(values)]))
+    known = [v for v in dict.fromkeys(values) if v is not None]
+    if isinstance(type_, T.IntegralType):
+        # No column of the type holds a number beyond its range.
+        most = 1 << 8 * _BYTES[type(type_)] - 1
+        whole = [str(v) for v in dict.fromkeys(map(int, known)) if -most <= v < most]
+        # One call for the whole list: a call for each value takes longer than the query.
+        name = column.replace("`", "``")
+        return df.filter(F.expr(f"`{name}` IN ({', '.join(whole)})") if whole else F.lit(False))
+    if isinstance(type_, T.StringType):
+        return df.filter(F.col(column).isin([str(v) for v in known]))
+    return df.filter(F.col(column).isin([F.lit(v).cast(type_) for v in known]))
 
 
 def keep_dates(df: DataFrame, column: str, first: str, last: str) -> DataFrame:

@@ -65,19 +65,28 @@ def _sorted(df: DataFrame, order: Sequence[str | Column], n: int, spread_ties: b
 def block_carries(totals: DataFrame, block: str, values: Mapping[str, str]) -> DataFrame:
     """What all earlier blocks add up to: ``block`` and a column for each entry (out -> total).
 
-    ``totals`` has a row for each block. Blocks are added up in groups of 4,096, then the groups.
+    ``totals`` has a row for each block. Blocks are added up in groups of 4,096. The sums of the
+    groups, which are as few, meet in one row, where each gets those before it.
     """
-    group = F.floor(F.col(block) / _SUPER).alias("__group")
-    above = totals.groupBy(group).agg(*(F.sum(v).alias(f"__{out}") for out, v in values.items()))
-    earlier = Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
-    above = above.select(
-        F.col("__group").alias("__of"),
-        *(F.coalesce(F.sum(f"__{out}").over(earlier), F.lit(0)).alias(f"__{out}") for out in values),
-    )
-    inside = Window.partitionBy("__group").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    group = F.floor(F.col(block) / _SUPER)
+    sums = [F.sum(v).alias(f"__{out}") for out, v in values.items()]
+    groups = totals.groupBy(group.alias("__block_group")).agg(*sums)
+    listed = F.array_sort(F.collect_list(F.struct("__block_group", *(f"__{out}" for out in values))))
+
+    def added(entries: Column, name: str) -> Column:
+        return F.aggregate(entries, F.lit(0).cast("long"), lambda total, e: total + e[name]).alias(name)
+
+    def before(entry: Column, place: Column) -> Column:
+        earlier = F.slice("__all", F.lit(1), place)
+        return F.struct(
+            entry["__block_group"].alias("__of"), *(added(earlier, f"__{out}") for out in values)
+        )
+
+    above = groups.agg(listed.alias("__all")).select(F.inline(F.transform("__all", before)))
+    inside = Window.partitionBy("__block_group").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        totals.withColumn("__group", group)
-        .join(above, F.col("__group") == F.col("__of"))
+        totals.withColumn("__block_group", group)
+        .join(above, F.col("__block_group") == F.col("__of"))
         .select(
             block,
             *(

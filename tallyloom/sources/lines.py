@@ -28,18 +28,18 @@ def _split_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         raw.select(
             "value",
             F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
+            F.col("_metadata.file_block_start").alias("__block"),
             F.monotonically_increasing_id().alias("number"),
             (quotes % 2).cast("long").alias("odd"),
         ),
         "lines",
     )
-    splits = lines.groupBy("file", "start").agg(
+    splits = lines.groupBy("file", "__block").agg(
         F.min("number").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("odd").alias("odd")
     )
-    splits = materialise(with_positions(splits, ["file", "start"], "split"), "splits")
+    splits = materialise(with_positions(splits, ["file", "__block"], "split"), "splits")
     carries = block_carries(splits, "split", {"before": "n", "odd_before": "odd"})
-    placed = splits.select("file", "start", "first", "split").join(carries, "split")
+    placed = splits.select("file", "__block", "first", "split").join(carries, "split")
     files = placed.groupBy("file").agg(
         F.min("before").alias("file_before"), F.min("odd_before").alias("file_odd_before")
     )
@@ -49,7 +49,7 @@ def _split_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def _placed(lines: DataFrame, splits: DataFrame) -> DataFrame:
     position = F.col("before") + F.col("number") - F.col("first") + 1
     return (
-        lines.join(splits, ["file", "start"])
+        lines.join(splits, ["file", "__block"])
         .withColumn("position", position)
         .withColumn("line", F.col("position") - F.col("file_before"))
     )
@@ -78,7 +78,7 @@ def read_quoted_records(spark: SparkSession, path: str) -> DataFrame:
     if open_file:
         raise ValueError(f"{open_file['file']} ends inside quotes")
     # Quotes are open behind an odd number of lines with an odd number of quotes.
-    in_split = Window.partitionBy("file", "start").orderBy("number")
+    in_split = Window.partitionBy("file", "__block").orderBy("number")
     running = F.sum("odd").over(in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     counted = _placed(lines.withColumn("run", running), splits).withColumn(
         "odd_to", F.col("odd_before") - F.col("file_odd_before") + F.col("run")

@@ -1,3 +1,10 @@
 """Registered queries over the test tables, and their SQL twins."""
 
-from . import oracle_exact, oracle_order, queries_exact, queries_order  # noqa: F401  (they register)
+from . import (  # noqa: F401  (they register)
+    oracle_exact,
+    oracle_files,
+    oracle_order,
+    queries_exact,
+    queries_files,
+    queries_order,
+)

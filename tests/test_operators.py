@@ -57,6 +57,15 @@ def test_recode_rejects_bad_ranges(spark, ranges):
         op.recode_ranges(spark.range(1), "id", ranges, "label")
 
 
+def test_keep_listed_converts_whole_numbers_and_texts_once(spark):
+    df = spark.createDataFrame([(1, "1"), (2, "a'b\\"), (3, None), (None, "x")], "`c``d` bigint, t string")
+    assert rows(op.keep_listed(df.withColumnRenamed("c`d", "c"), "c", ["1", 3, 3.0, None]).select("c")) == [(1,), (3,)]
+    assert rows(op.keep_listed(df.select("t"), "t", ["a'b\\", 1, None])) == [("1",), ("a'b\\",)]
+    small = spark.createDataFrame([(1,), (127,)], "c tinyint")
+    assert rows(op.keep_listed(small, "c", [5_000_000_000, 127])) == [(127,)]
+    assert rows(op.keep_listed(small, "c", [])) == rows(op.keep_listed(small, "c", [None])) == []
+
+
 def test_keep_listed(spark):
     codes = spark.createDataFrame([(37980,), (1,), (None,), (37980,)], "c int")
     assert rows(op.keep_listed(codes, "c", ["37980", "12420"])) == [(37980,), (37980,)]
