@@ -10,6 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Bytes of text that a task works on at once; one longer text is a piece of its own.
 PIECE_BYTES = 2 << 20
+# Texts of a piece, for work that numbers them in few bits.
+PIECE_ROWS = 1 << 14
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column is called so."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +35,14 @@ def row_bytes(column: pa.Array) -> np.ndarray:
 def pieces(
     batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = PIECE_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``max_bytes`` of text, so that memory is bounded."""
+    """The same rows in batches of at most ``max_bytes`` of text and ``PIECE_ROWS`` rows."""
     for batch in batches:
         total = np.cumsum(row_bytes(batch.column(batch.schema.names.index(text))))
         start = 0
         while start < batch.num_rows:
             before = total[start - 1] if start else 0
             stop = int(np.searchsorted(total, before + max_bytes, side="right"))
-            stop = max(stop, start + 1)
+            stop = min(max(stop, start + 1), start + PIECE_ROWS)
             yield batch.slice(start, stop - start)
             start = stop
 

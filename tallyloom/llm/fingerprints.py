@@ -93,7 +93,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = ranged(rows, docs.count()).withColumn("tie", F.xxhash64("text"))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), F.col("tie").alias("tie"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), F.col("tie").alias("tie"))
     heads = rows.groupBy("range").agg(F.min(rank).alias("head"))
     cycle = Window.orderBy("range")
     last = F.max("range").over(Window.partitionBy())

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .common import free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Documents that one window partition of the prefix sum sorts.
@@ -76,14 +77,15 @@ def mix_sources(
     equal in all three can swap places. A NULL text has size 0, a NULL source is a source of its
     own, sorted last. An empty table gives an empty table.
     """
-    sized = materialise(
-        docs.select(
-            "doc_id", "source", n_words(F.col("text")).alias("size"), _random_key(seed).alias("key")
-        ),
-        "mix-sizes",
+    sized = docs.select(
+        "doc_id", "source", n_words(F.col("text")).alias("size"), _random_key(seed).alias("key")
     )
-    sources = sized.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")
+    # Rows that are equal in all of these are one entry, however many they are.
+    entries = sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("rows"))
+    entries = materialise(entries, "mix-sizes")
+    whole = F.col("size") * F.col("rows")
+    sources = entries.groupBy("source").agg(
+        F.sum(whole).alias("source_size"), F.count(F.lit(1)).alias("n_docs")
     )
     targets = materialise(source_targets(sources, weights, max_epochs, share), "mix-targets")
     targets = targets.withColumnRenamed("source", "of")
@@ -93,12 +95,12 @@ def mix_sources(
     # Hash-random keys cut a source into ranges of about equal numbers of documents.
     unit = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / F.lit(2**32)
     placed = (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("of")))
+        entries.join(targets, F.col("source").eqNullSafe(F.col("of")))
         .withColumn("epochs", epochs)
         .withColumn("range", F.floor(unit * F.ceil(F.col("n_docs") / RANGE_ROWS)))
         .drop("of", "n_docs")
     )
-    by_range = placed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    by_range = placed.groupBy("source", "range").agg(F.sum(whole).alias("range_size"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     by_range = by_range.select(
         F.col("source").alias("of"),
@@ -108,13 +110,15 @@ def mix_sources(
     same = F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("of_range"))
     inside = (
         Window.partitionBy("source", "range")
-        .orderBy("key", "size")
+        .orderBy("key", "size", "doc_id")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    before = F.col("before_range") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    before = F.col("before_range") + F.coalesce(F.sum(whole).over(inside), F.lit(0))
     rest = F.floor("target") - F.col("epochs") * F.col("source_size")
-    last = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    return placed.join(by_range, same).select(
+    cut = placed.join(by_range, same).withColumn("left", rest - before)
+    # Equal rows take what is left one after the other; which of them does not matter.
+    last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("copy") * F.col("size")))
+    return _each_row(cut).select(
         "doc_id",
         "source",
         "key",
@@ -125,20 +129,34 @@ def mix_sources(
     )
 
 
+def _each_row(entries: DataFrame) -> DataFrame:
+    """A row for each of the ``rows`` of an entry, with their number ``copy`` from 0.
+
+    Entries of very many rows are first dealt to tasks in runs of ``RANGE_ROWS``.
+    """
+    many = F.col("rows") > RANGE_ROWS
+    few = entries.filter(~many).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(RANGE_ROWS).cast("long")))
+    runs = entries.filter(many).withColumn("first", first).repartition("key", "first")
+    end = F.least(F.col("first") + RANGE_ROWS, F.col("rows")) - 1
+    return few.unionByName(runs.withColumn("copy", F.explode(F.sequence("first", end))).drop("first"))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each row as often as the mix takes it, not at all if not taken.
 
     A document taken in part appears whole in its last epoch. Columns are those of ``docs``, which
     needs doc_id, text and source. Rows equal in all three share their copies, rounded up.
     """
+    names = [free_name(docs.columns, n) for n in ("__source", "__key", "__copies", "__copy")]
     copies = F.ceil(F.sum(F.ceil(F.col("taken") / F.col("size"))) / F.count(F.lit(1)))
     plan = (
         mix_sources(docs, **options)
         .filter(F.col("taken") > 0)
-        .groupBy(F.col("source").alias("__source"), F.col("key").alias("__key"))
-        .agg(copies.cast("int").alias("__copies"))
+        .groupBy(F.col("source").alias(names[0]), F.col("key").alias(names[1]))
+        .agg(copies.cast("int").alias(names[2]))
     )
     key = _random_key(options.get("seed", ""))
-    same = F.col("source").eqNullSafe(F.col("__source")) & (key == F.col("__key"))
-    taken = docs.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
+    same = F.col("source").eqNullSafe(F.col(names[0])) & (key == F.col(names[1]))
+    taken = docs.join(plan, same).withColumn(names[3], F.explode(F.sequence(F.lit(1), names[2])))
     return taken.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -169,12 +169,17 @@ def vote_patterns(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most about ``rows`` rows, chosen by a hash of doc_id."""
-    n = docs.count()
-    if n <= rows:
-        return docs
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
-    return docs.filter(unit < int(rows / n * (1 << 30)))
+    """At most ``rows`` rows (doc_id, text): those with the least hashes of doc_id and text.
+
+    A doc_id that many rows share is thereby no more likely than others, and rows equal in both
+    count once. Only hashes are ranked; texts move for the chosen rows alone.
+    """
+    marked = docs.select("doc_id", "text", F.xxhash64(F.lit(5), "doc_id", "text").alias("mark"))
+    least = marked.select("mark").distinct().orderBy("mark").limit(rows)
+    last = least.agg(F.max("mark")).first()[0]
+    if last is None:
+        return docs.select("doc_id", "text")
+    return marked.filter(F.col("mark") <= last).dropDuplicates(["mark"]).drop("mark")
 
 
 class QualityModel:
@@ -193,7 +198,7 @@ class QualityModel:
 
 
 def train_quality(docs: DataFrame, rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Fit voters' accuracies on all documents and the scorer on a sample of at most about ``rows``."""
+    """Fit voters' accuracies on all documents and the scorer on a sample of at most ``rows``."""
     votes, counts = vote_patterns(docs)
     if not len(votes):
         return QualityModel(np.zeros(_FEATURES), 0.0, np.full(N_VOTERS, 0.5))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..operators.positions import block_carries
 from ..session import fresh_path, materialise
+from .common import free_name
 
 # Bytes of text that a bucket should hold; a longer record is a bucket of its own size.
 BUCKET_BYTES = 8 << 20
@@ -65,12 +66,6 @@ def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
     return np.array(order, np.int64)
 
 
-def _free_name(columns: list[str], name: str) -> str:
-    while name.lower() in {c.lower() for c in columns}:
-        name += "_"
-    return name
-
-
 def write_shards(
     docs: DataFrame,
     n_shards: int,
@@ -93,9 +88,9 @@ def write_shards(
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
     spark, names = docs.sparkSession, docs.columns
-    key, lane = _free_name(names, "__key"), _free_name(names, "__lane")
-    bucket, place = _free_name(names, "__bucket"), _free_name(names, "__place")
-    block, twin = _free_name(names, "__block"), _free_name(names, "__twin")
+    key, lane = free_name(names, "__key"), free_name(names, "__lane")
+    bucket, place = free_name(names, "__bucket"), free_name(names, "__place")
+    block, twin = free_name(names, "__block"), free_name(names, "__twin")
     keys = materialise(
         docs.select(_key(seed).alias("key"), record_size(F.col("text")).alias("size")), "shard-keys"
     )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import flat_bytes, map_pieces, pieces, text_column
+from .common import flat_bytes, free_name, map_pieces, pieces, text_column
 from .shingles import SHINGLE_WORDS, mix, shingle_sets
 
 # Links need 100 * intersection >= PERCENT * union.
@@ -489,17 +489,15 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     rows = rows.filter(F.col("component").isNotNull())
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     first = rows.groupBy(F.col("component").alias("of")).agg(F.min(rank).alias("first"))
+    of_id, of_mark, stays = (free_name(docs.columns, n) for n in ("__id", "__mark", "__stays"))
     judged = rows.join(first, F.col("component") == F.col("of")).select(
-        F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), (rank == F.col("first")).alias("stays")
+        F.col("doc_id").alias(of_id), F.col("mark").alias(of_mark), (rank == F.col("first")).alias(stays)
     )
-    counted = judged.groupBy("__id", "__mark", "stays").agg(F.count(F.lit(1)).alias("n"))
-    marks = materialise(
-        counted.filter(~F.col("stays") | (F.col("n") > 1)).withColumnRenamed("stays", "__stays").drop("n"),
-        "join-marks",
-    )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark"))
+    counted = judged.groupBy(of_id, of_mark, stays).agg(F.count(F.lit(1)).alias("n"))
+    marks = materialise(counted.filter(~F.col(stays) | (F.col("n") > 1)).drop("n"), "join-marks")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(of_mark))
     kept = docs.join(marks, same, "left_anti")
-    repeated = marks.filter("__stays")
+    repeated = marks.filter(F.col(stays))
     if repeated.isEmpty():
         return kept
     once = docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])

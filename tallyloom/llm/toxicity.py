@@ -285,7 +285,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     first = np.where((votes == 1).any(1), 0.9, 0.05)
     labeller = fit(votes, table[:, 2], np.stack([1 - first, first], axis=1), known=table[:, :2], correlated=True)
 
-    return ToxicityModel(*_train_classifier(sample(docs, rows), voters, labeller), labeller)
+    sampled = materialise(sample(docs, rows), "toxic-sample")
+    return ToxicityModel(*_train_classifier(sampled, voters, labeller), labeller)
 
 
 def _train_classifier(docs: DataFrame, voters: Voters, labeller: LabelModel) -> tuple[np.ndarray, float]:
