@@ -2,8 +2,9 @@
 
 A bidirectional LSTM with CRF transitions is trained on labelled spans: those that the patterns find
 in a sample of the documents, as they stand and rewritten in forms that the patterns don't cover.
-It reads overlapping windows around every digit, @ sign and bracketed "at" of a text. Each
-window is decoded, and of all spans found in a text those that together weigh most are kept.
+It reads overlapping windows around every digit, @ sign, bracketed "at" and "dot" of a text, in any case.
+Each window is decoded; where a span touches a window's edge, a wider window around it is decoded too.
+Of all spans found in a text those that together weigh most are kept. A card must pass Luhn's test.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from .common import map_pieces, pieces, text_column
 KINDS = ("email", "ip", "card", "phone")
 # Documents whose snippets the tagger learns from: those with the least hash of doc_id and text.
 SNIPPET_DOCS = 2_000
-ROUNDS = 220
+ROUNDS = 320
 WINDOW = 96
+# A span that touches the edges of a window this wide is none.
+WIDEST = 8 * WINDOW
 # Least mean probability of the tags of an added span.
 SURE = 0.8
 
@@ -34,7 +37,13 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[({<] ?(?:at|AT) ?[\])}>]")
+_TRIGGER = re.compile(r"[0-9@]|[\[({<] ?[aA][tT] ?[\])}>]|(?<![A-Za-z])[dD][oO][tT](?![A-Za-z])")
+
+_AT_FORM = re.compile(r" ?[\[({<] ?[aA][tT] ?[\])}>] ?| [aA][tT] | ?@ ?")
+_DOT_FORM = re.compile(r" ?[\[({<] ?(?:[dD][oO][tT]|\.) ?[\])}>] ?| [dD][oO][tT] ")
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@" + _DOMAIN.pattern)
+# Ends of addresses that are taken for one without any mark.
+_COMMON_ENDS = ("com", "org", "net", "edu", "gov", "int", "info", "io", "eu", "de", "fr", "es", "it", "uk")
 
 Span = tuple[int, int, int]
 
@@ -114,8 +123,13 @@ def _rewritten(kind: int, text: str, rng: np.random.Generator) -> str:
     digits = "".join(c for c in text if c in "0123456789")
     if kind == 0:
         local, _, domain = text.partition("@")
-        mark = [" [at] ", " (at) ", "[at]", "(at)", " @ "][rng.integers(5)]
-        return local + mark + domain.replace(".", [" [dot] ", ".", "(dot)", "."][rng.integers(4)])
+        mark = [" [at] ", " (at) ", "[at]", "(at)", " @ ", " [At] ", " {AT} ", " at "][rng.integers(8)]
+        dot = [" [dot] ", ".", "(dot)", ".", " dot ", " [DOT] "][rng.integers(6)]
+        if mark == " at ":
+            # Nothing but the dots tells such an address from prose.
+            dot = [" dot ", " DOT "][rng.integers(2)]
+            local = local.replace(".", dot)
+        return local + mark + domain.replace(".", dot)
     if kind == 1:
         return text.replace(".", ["[.]", "(.)"][rng.integers(2)])
     if kind == 2:
@@ -137,7 +151,9 @@ def _made_snippets(rng: np.random.Generator, n: int) -> list[tuple[str, list[Spa
 
     def span(kind: int) -> str:
         if kind == 0:
-            return f"{word()}.{number(2)}@{word()}{number(1)}.{word()}.com"
+            local = [f"{word()}.{number(2)}", word(), f"{word()}.{word()}", f"{word()}_{word()}", f"{word()}{number(2)}"][rng.integers(5)]
+            host = [f"{word()}{number(1)}", word(), f"{word()}.{word()}", f"{word()}-{word()}"][rng.integers(4)]
+            return f"{local}@{host}.{['com', 'org', 'net', word()][rng.integers(4)]}"
         if kind == 1:
             return ".".join(str(v) for v in rng.integers(0, 256, 4))
         if kind == 2:
@@ -244,7 +260,7 @@ def train_tagger(docs: DataFrame | None, rounds: int = ROUNDS) -> Tagger:
             new = _rewritten(kind, text[start:end], rng)
             changed.append((text[:start] + new + text[end:], [(kind, start, start + len(new))]))
     tagger = _new_tagger()
-    tagger.train(*_labelled([*own, *changed, *_made_snippets(rng, 1_500)]), rounds)
+    tagger.train(*_labelled([*own, *changed, *_made_snippets(rng, 3_000)]), rounds)
     return tagger
 
 
@@ -261,16 +277,46 @@ def _reconciled(found: list[tuple[float, Span]], taken: list[Span]) -> list[Span
     return best[-1][1]
 
 
+def _is_address(found: str) -> bool:
+    """True if a rewritten address, written back, is one; in bare words it must end as most do."""
+    plain = _DOT_FORM.sub(".", _AT_FORM.sub("@", found))
+    if not _ADDRESS.fullmatch(plain):
+        return False
+    marked = "@" in found or any(c in "[]({<" for c in found)
+    return marked or plain.rsplit(".", 1)[1].lower() in _COMMON_ENDS
+
+
+def _possible(kind: int, text: str, span: Span) -> bool:
+    """False for what no card, phone or address can be, however it is written."""
+    found = text[span[1] : span[2]]
+    if KINDS[kind] == "email":
+        return _is_address(found)
+    digits = "".join(c for c in found if c in "0123456789")
+    if KINDS[kind] == "card":
+        return 12 <= len(digits) <= 19 and _luhn(digits)
+    if KINDS[kind] == "phone":
+        return 9 <= len(digits) <= 15
+    if KINDS[kind] == "ip":
+        parts = re.findall("[0-9]+", found)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    return True
+
+
+def _around(text: str, span: Span, width: int) -> tuple[int, int]:
+    """A window of a width with a span in its middle."""
+    start = max(0, min((span[1] + span[2] - width) // 2, len(text) - width))
+    return start, min(len(text), start + width)
+
+
 class Finder:
     """Finds all spans of texts with a trained tagger."""
 
     def __init__(self, tagger: Tagger):
         self.tagger = tagger
 
-    def tagged(self, texts: list[str]) -> list[list[tuple[float, Span]]]:
-        """Weighted spans of all windows of each text; a span that a window cuts is left to the next."""
-        out: list[list] = [[] for _ in texts]
-        ids, places = _windows(texts)
+    def _decoded(self, texts: list[str], ids: np.ndarray, places: list, out: list[list]) -> list[tuple[int, Span]]:
+        """Adds the weighted spans of windows to ``out``; returns those that an edge cuts."""
+        cuts = []
         for first in range(0, len(ids), 512):
             tags, shares = self.tagger.decode(ids[first : first + 512])
             for row, (number, start, end) in enumerate(places[first : first + 512]):
@@ -281,8 +327,24 @@ class Finder:
                         stop += 1
                     cut = at == 0 and start > 0 or stop == size and end < len(texts[number])
                     sure = shares[row, at:stop].mean()
-                    if not cut and sure >= SURE and stop - at >= 7:
-                        out[number].append((float(sure * (stop - at)), (kind, int(start + at), int(start + stop))))
+                    span = (kind, int(start + at), int(start + stop))
+                    if cut and sure >= SURE:
+                        cuts.append((number, span))
+                    elif sure >= SURE and stop - at >= 7 and _possible(kind, texts[number], span):
+                        out[number].append((float(sure * (stop - at)), span))
+        return cuts
+
+    def tagged(self, texts: list[str]) -> list[list[tuple[float, Span]]]:
+        """Weighted spans of all windows of each text, with wider windows around spans that edges cut."""
+        out: list[list] = [[] for _ in texts]
+        ids, places = _windows(texts)
+        cuts, width = self._decoded(texts, ids, places, out), 2 * WINDOW
+        while cuts and width <= WIDEST:
+            places = sorted({(number, *_around(texts[number], span, width)) for number, span in cuts})
+            ids = np.zeros((len(places), width), np.int64)
+            for row, (number, start, end) in zip(ids, places):
+                row[: end - start] = _IDS[_points(texts[number][start:end])]
+            cuts, width = self._decoded(texts, ids, places, out), 2 * width
         return out
 
     def spans(self, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
