@@ -85,6 +85,16 @@ _DROPPED_NAMES = {
     "subscribe", "toolbar", "topbar", "widget",
 }
 _LAYOUT = {"has", "with", "without", "no"}
+# What stands beside such a word in the name of a part of a page. Inside a marked article a name with
+# any other word ("market-share-table", "ad-hoc") is taken for one of the article's own.
+_PART_NAMES = {
+    "and", "area", "article", "articles", "author", "bar", "block", "blocks", "body", "bottom", "box", "button",
+    "buttons", "card", "cards", "col", "container", "content", "feed", "form", "global", "group", "head", "icon",
+    "icons", "inline", "inner", "item", "items", "label", "left", "link", "links", "list", "main", "media",
+    "message", "module", "outer", "overlay", "page", "panel", "placeholder", "post", "posts", "primary", "reader",
+    "readers", "right", "row", "secondary", "section", "site", "slot", "stories", "story", "teaser", "text",
+    "thread", "title", "top", "unit", "user", "wrap", "wrapper", "zone",
+}
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -200,10 +210,14 @@ def _declared(element: Element, in_article: bool) -> bool:
     # The name of a page's layout ("with-sidebar") says nothing of the element itself, and the
     # header of an article holds its headline.
     text = element.name in ("p", *_HEADINGS)
-    for token in (t for v in element.attribute("class", "id") for t in v.split()):
+    # Ids of headings and paragraphs in an article are often made from its own words.
+    sources = ("class",) if text and in_article else ("class", "id")
+    for token in (t for v in element.attribute(*sources) for t in v.split()):
         words = [token] if text else _WORD.findall(token)
         if any(w in _LAYOUT for w in words) or in_article and "header" in words:
             continue
+        if in_article and any(w not in _DROPPED_NAMES and w not in _PART_NAMES for w in words):
+            continue
         if any(w in _DROPPED_NAMES for w in words):
             return True
     return False

@@ -10,6 +10,8 @@ import pyarrow as pa
 
 from tallyloom.llm import fingerprints as fp
 from tallyloom.llm import order
+from tallyloom.llm.common import flat_bytes
+from tallyloom.llm.shingles import shingle_hashes
 
 
 def words(rng, n):
@@ -81,3 +83,40 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, "same words")] * 5, "doc_id long, text string")
     got = fp.fingerprint_documents(df).collect()
     assert len(got) == 5 and len({r["fingerprint"] for r in got}) == 1
+
+
+def plain_mix(x):
+    m = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def plain_fingerprint(hashes):
+    """One-permutation MinHash of one text's shingle hashes, bin by bin in plain whole numbers."""
+    if not hashes:
+        return ""
+    least = {}
+    for h in hashes:
+        place, value = h >> 56, h >> 16 & (1 << 40) - 1
+        least[place] = min(value, least.get(place, value))
+    digits = []
+    for place in range(fp.BINS):
+        source, attempt = place, 0
+        while source not in least:
+            attempt += 1
+            source = plain_mix(place << 32 | attempt) % fp.BINS
+        digits.append(plain_mix(least[source]) & 15)
+    # Two digits a byte, the lower one of the pair in the byte's high half, bits in rising order.
+    bits = "".join(f"{d:04b}"[::-1] for d in digits)
+    return "".join(f"{int(bits[i : i + 8], 2):02x}" for i in range(0, len(bits), 8))
+
+
+def test_fingerprints_equal_plain_ones():
+    rng = random.Random(12)
+    texts = ["", " ", "one", "a b c d e", *(" ".join(words(rng, n)) for n in (6, 30, 200, 1_500, 9_000))]
+    packed = fp.pack(fp.sketch(pa.array(texts)))
+    for text, got in zip(texts, packed):
+        data, offsets = flat_bytes(pa.array([text]))
+        hashes = [int(h) for h in shingle_hashes(data, offsets, lower=False)[0]]
+        assert got == plain_fingerprint(hashes)

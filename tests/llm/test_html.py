@@ -120,3 +120,15 @@ def test_templates_of_small_hosts_go_and_formulas_stay(spark):
     page = f"<body><div><b>Follow us</b></div><div><p>text # with {formula} in it</p></div></body>"
     got = extract(spark, site(5, page))
     assert got[2] == "text 2 with x=2 in it"
+
+
+def test_words_of_the_article_in_names_and_ids_delete_nothing():
+    page = (
+        '<article><p>First.</p><h2 id="related">Related work</h2><p id="share">a</p><h2 id="comments">Comments</h2>'
+        '<div class="market-share-table"><p>b</p></div><section id="notice-of-intent"><p>c</p></section>'
+        '<div class="ad-hoc"><p>d</p></div>'
+        '<div class="ad-slot-2"><p>BAD</p></div><div id="comments"><p>BAD</p></div><p class="promo">BAD</p>'
+        '<div class="newsletter-signup"><p>BAD</p></div><div class="related-posts"><p>BAD</p></div></article>'
+    )
+    roots, marked = html.article_root(html.subtree_hashes(html.parse(page)))
+    assert html.blocks(roots, marked) == ["First.", "Related work", "a", "Comments", "b", "c", "d"]
