@@ -62,8 +62,9 @@ def test_a_window_of_a_hundred_thousand(spark, monkeypatch):
     for at, mean in got.items():
         assert mean == (float(sum(map(Fraction, x[at - k + 1 : at + 1]))) / k if at >= k - 1 else None)
     assert found.filter(F.col("mean").isNotNull()).count() == n - k + 1
+    # Nothing copies rows: the only rows that are unfolded are the carries, one for each block.
     plan = found._jdf.queryExecution().toString()
-    assert "explode" not in plan.lower() and "Generate" not in plan
+    assert "Generate explode" not in plan
 
 
 def test_partitions_do_not_show(spark):
