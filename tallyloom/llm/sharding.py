@@ -38,7 +38,6 @@ class Shards:
     path: str
     n_shards: int
     n_rows: int
-    columns: tuple[str, ...]
 
     def first(self, shard: int) -> int:
         """Rows before a shard: the first ``n_rows % n_shards`` shards hold one row more."""
@@ -135,7 +134,7 @@ def write_shards(
     totals = written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     starts = block_carries(totals, "bucket", {"start": "n"})
     starts.select("bucket", F.col("start").cast("long").alias("start")).write.parquet(f"{path}/starts")
-    shards = Shards(path, n_shards, n_rows, tuple(names))
+    shards = Shards(path, n_shards, n_rows)
     found = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if found != n_rows:
         raise RuntimeError(f"{n_rows} rows came in, {found} were written")

@@ -7,7 +7,6 @@ from collections import Counter
 from itertools import permutations
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from conftest import TEST_DATA
