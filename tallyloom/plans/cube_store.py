@@ -84,11 +84,12 @@ def refresh_cube(
 ) -> list[tuple[int, int]]:
     """Bring the store up to date with the microdata; returns the months it read.
 
-    ``schema`` is that of the microdata; ``cube`` makes tallies of them that hold the columns YEAR and MONTH. If no file has changed, nothing is
-    read or written. Months whose files are gone leave the cube. Refreshes of one store must not
-    run at the same time.
+    ``schema`` is that of the microdata; ``cube`` makes tallies of them that hold the columns YEAR
+    and MONTH. If no file has changed, nothing is read or written. Months whose files are gone leave
+    the cube. Refreshes of one store must not run at the same time.
     """
-    found = month_digests(spark, microdata).collect()  # a row for each month of the calendar
+    # A row for each month of the calendar.
+    found = month_digests(spark, microdata).collect()
     if any(row.YEAR is None or row.MONTH is None for row in found):
         raise ValueError("microdata without a year or month")
     known = _manifest(spark, store)
