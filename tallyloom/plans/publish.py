@@ -3,7 +3,8 @@
     python -m tallyloom.plans.publish --out FOLDER --panel FILE ...
 
 runs it on staged files: CSV for the panel and the estimates, tab-separated text for the
-series and the supersector lookup, and CSV, Parquet or fixed-width text for the person microdata.
+series and the supersector lookup, and CSV, Parquet or fixed-width text for the person microdata. Microdata
+that lies in folders by year and month goes through a cube store instead: only new and changed months are read.
 Estimates come joined (numerator and denominator in one row) or as pulled, a row per variable.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import join_lookup, ordered_values
 from ..session import materialise
 from ..sources import read_fixed_width, read_trimmed_tsv, read_typed_csv, schemas, write_report
-from . import employment, estimates, occupancy, telework
+from . import cube_store, employment, estimates, occupancy, telework
 from . import fixed_values as fixed
 
 
@@ -28,15 +29,17 @@ def publish(
     metro_estimates: DataFrame,
     nation_estimates: DataFrame,
     county_estimates: DataFrame,
-    persons: DataFrame,
+    persons: DataFrame | None,
     series: DataFrame,
     supersectors: DataFrame,
     year: str = "2023",
+    cube: DataFrame | None = None,
 ) -> None:
     """Write the report tables below ``folder``, a directory of CSV files each.
 
     Every input is read once: the cube, the annual averages, the panel and the stacked estimates
-    go to the shared folder, and the tables built on them read those.
+    go to the shared folder, and the tables built on them read those. With ``cube``, tallies by
+    year, month, area and supersector, ``persons`` are not read.
     """
     geographies = [*fixed.METRO_CODES, fixed.NATION_ID]
 
@@ -56,7 +59,8 @@ def publish(
         "wfh_share_by_county",
     )
 
-    cube = materialise(telework.telework_cube(persons), "telework-cube")
+    if cube is None:
+        cube = materialise(telework.telework_cube(persons), "telework-cube")
     office = telework.in_sectors(cube, fixed.OFFICE_SECTORS)
     for label, tallies in (("all", cube), ("office", office)):
         monthly = materialise(
@@ -146,23 +150,34 @@ def main(arguments: Sequence[str] | None = None) -> None:
     ):
         parser.add_argument(option, required=True)
     parser.add_argument("--year", default="2023")
-    parser.add_argument("--persons-form", choices=["csv", "parquet", "fixed"], default="parquet")
+    forms = ["csv", "parquet", "fixed", "months"]
+    parser.add_argument("--persons-form", choices=forms, default="parquet")
+    parser.add_argument("--cube-store", help="folder of the cube, for persons by months")
     parser.add_argument(
         "--persons-layout", type=json.loads, help="JSON list of [name, first, last, type, decimals]"
     )
     parser.add_argument("--pulled", action="store_true", help="estimates have a row per variable")
     given = parser.parse_args(arguments)
+    if (given.persons_form == "months") != bool(given.cube_store):
+        parser.error("persons by months and a cube store go together")
     spark = SparkSession.builder.appName("tallyloom-publish").getOrCreate()
+    persons = cube = None
+    if given.cube_store:
+        cube_store.refresh_cube(spark, given.persons, given.cube_store)
+        cube = cube_store.read_cube(spark, given.cube_store)
+    else:
+        persons = read_persons(spark, given.persons, given.persons_form, given.persons_layout)
     publish(
         given.out,
         read_typed_csv(spark, given.panel, schemas.OCCUPANCY),
         read_estimates(spark, given.metro_estimates, given.pulled),
         read_estimates(spark, given.nation_estimates, given.pulled),
         read_estimates(spark, given.county_estimates, given.pulled),
-        read_persons(spark, given.persons, given.persons_form, given.persons_layout),
+        persons,
         read_trimmed_tsv(spark, given.series, _column_names(schemas.SERIES)),
         read_trimmed_tsv(spark, given.supersectors, _column_names(schemas.SUPERSECTORS)),
         given.year,
+        cube,
     )
 
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import session
+from tallyloom.plans import cube_store
 from tallyloom.plans.publish import main
 from tallyloom.sources import (
     catalogue_from_match,
@@ -133,7 +134,7 @@ LAYOUT = [["YEAR", 1, 4, "int"], ["MONTH", 5, 6, "int"], ["METFIPS", 7, 11, "int
           ["TELWRKPAY", 16, 16, "int"], ["WTFINL", 17, 22, "double", 2]]
 
 
-@pytest.mark.parametrize("form", ["csv", "parquet", "fixed"])
+@pytest.mark.parametrize("form", ["csv", "parquet", "fixed", "months"])
 def test_publish_writes_every_table(spark, tmp_path, form):
     """From every form of the microdata; with fixed-width text the estimates come as pulled."""
     weeks = [dt.date(2022, 12, 7) + dt.timedelta(days=7 * i) for i in range(6)]
@@ -164,6 +165,7 @@ def test_publish_writes_every_table(spark, tmp_path, form):
         "supersectors": ([("30", "Manufacturing"), ("40", "Trade")], schemas.SUPERSECTORS),
     }
     arguments = ["--out", str(tmp_path / "out"), "--persons-form", form]
+    arguments += ["--cube-store", str(tmp_path / "cube")] if form == "months" else []
     if form == "fixed":
         arguments += ["--pulled", "--persons-layout", json.dumps(LAYOUT)]
         for name in ("metro-estimates", "nation-estimates", "county-estimates"):
@@ -178,6 +180,8 @@ def test_publish_writes_every_table(spark, tmp_path, form):
         path = f"{tmp_path}/{name}"
         if name == "persons" and form == "parquet":
             table.write.parquet(path)
+        elif name == "persons" and form == "months":
+            cube_store.write_months(table, path)
         elif name == "persons" and form == "fixed":
             widths = {"YEAR": 4, "MONTH": 2, "METFIPS": 5, "IND": 4, "TELWRKPAY": 1}
             fields = [F.lpad(F.col(c).cast("string"), w, " ") for c, w in widths.items()]
